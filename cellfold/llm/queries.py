@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellfold.llm.bpe import bpe_encode
+from cellfold.llm.mixing import mix_sources
+from cellfold.llm.multiset import edited_fingerprints
+from cellfold.llm.rollup import TokenRollup, deletes, inserts, revisions
+from cellfold.llm.shared import cut, fresh_dir
 from cellfold.llm.simhash import simhash_groups
+from cellfold.llm.urlfilter import Rule, filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +45,113 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Token patterns of the rollup query, by tokenizer version.
+TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-1": r"[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]"}
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, the second of which is sent twice.
+
+    All documents come in; then "words-1" is recounted without words that lack an
+    ASCII letter; then documents of fewer than 20 of those words go.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    worded = {**TOKENIZERS, "recount": r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*"}
+    # One narrow row per document, so that texts are counted once for all batches.
+    text = F.coalesce("text", F.lit(""))
+    each = cut(docs.select("source", "lang", *[F.regexp_count(text, F.lit(p)).cast("long").alias(k) for k, p in worded.items()]))
+    named = lambda version, n, rows=each: rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(f"`{n}`").alias("n_tokens"), F.col("recount").alias("new_tokens"))
+    short = each.where("recount < 20")
+    rollup = TokenRollup(spark, fresh_dir(spark, "rollup"))
+    rollup.commit("1", inserts(named("words-1", "words-1")), inserts(named("pieces-1", "pieces-1")))
+    for _ in range(2):
+        rollup.commit("2", revisions(named("words-1", "words-1")))
+    rollup.commit("3", deletes(named("words-1", "recount", short)), deletes(named("pieces-1", "pieces-1", short)))
+    return rollup.totals()
+
+
+OP3_SQL = r"""
+WITH counts AS (
+  SELECT source, lang,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*')) AS words,
+         len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]')) AS pieces
+  FROM documents
+), kept AS (SELECT * FROM counts WHERE words >= 20)
+SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS documents, sum(words)::BIGINT AS tokens FROM kept GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*)::BIGINT, sum(pieces)::BIGINT FROM kept GROUP BY ALL
+"""
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the URL query.
+RULES = (
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP9_SQL = r"""
+WITH rules(rhost, rpath, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+urls AS (SELECT DISTINCT url FROM pages),
+cut AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM urls),
+parts AS (
+  SELECT url, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw, coalesce(rest, '') AS rest FROM cut),
+split AS (
+  SELECT url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM parts),
+best AS (
+  SELECT url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(v, length(rhost || rpath)) AS v
+  FROM split JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM pages JOIN split ON pages.url IS NOT DISTINCT FROM split.url LEFT JOIN best ON best.url = split.url
+"""
+
+#: Target weights of the mixing query; other sources have weight 1.
+WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 0.5, "src4": 0.25}
+MIX_SEED = 17
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), WEIGHTS, seed=MIX_SEED, default_weight=1.0)
+
+
+OP10_SQL = """
+WITH given(source, w) AS (VALUES ('src0', 4.0), ('src1', 3.0), ('src2', 2.0), ('src3', 0.5), ('src4', 0.25)),
+counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+weighted AS (SELECT c.source, n, CASE WHEN c.source IS NULL THEN 0 ELSE coalesce(w, 1.0) END::DOUBLE AS w FROM counts c LEFT JOIN given g ON c.source = g.source),
+rates AS (SELECT source, w / (SELECT sum(w) FROM weighted) * (SELECT sum(n) FROM weighted)::DOUBLE / n AS rate FROM weighted WHERE w > 0),
+drawn AS (
+  SELECT d.*, rate, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN rates r ON d.source = r.source),
+steps AS (
+  SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM rates, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 31)::BIGINT)) AS t(k)),
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(s.k) AS copies FROM drawn d LEFT JOIN steps s ON s.source = d.source AND s.cdf <= d.u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, i::INTEGER AS copy FROM counted, unnest(range(0, copies)) AS t(i)
+"""
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_token_counts": op3_token_counts,
+    "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_url_filter": op9_url_filter,
+    "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_token_counts": OP3_SQL,
+    "op9_url_filter": OP9_SQL,
+    "op10_source_mixing": OP10_SQL,
+}
