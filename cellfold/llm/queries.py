@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellfold.llm.bpe import bpe_encode
+from cellfold.llm.embed_dedup import embedding_groups
 from cellfold.llm.mixing import mix_sources
 from cellfold.llm.multiset import edited_fingerprints
 from cellfold.llm.rollup import TokenRollup, deletes, inserts, revisions
 from cellfold.llm.shared import cut, fresh_dir
 from cellfold.llm.simhash import simhash_groups
+from cellfold.llm.toxicity import fit, held_out, score
 from cellfold.llm.urlfilter import Rule, filter_urls
 
 
@@ -83,6 +85,21 @@ SELECT source, lang, 'pieces-1', count(*)::BIGINT, sum(pieces)::BIGINT FROM kept
 """
 
 
+#: A document is rejected from this score on.
+TOXIC = 0.3
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -145,6 +162,8 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op5_toxicity": op5_toxicity,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_url_filter": op9_url_filter,
     "op10_source_mixing": op10_source_mixing,
