@@ -14,6 +14,8 @@ from cellfold.llm.shared import cut, fresh_dir
 from cellfold.llm.simhash import simhash_groups
 from cellfold.llm.toxicity import fit, held_out, score
 from cellfold.llm.urlfilter import Rule, filter_urls
+from cellfold.llm.warc import warc_roundtrip
+from cellfold.llm.wavelet import token_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +87,12 @@ SELECT source, lang, 'pieces-1', count(*)::BIGINT, sum(pieces)::BIGINT FROM kept
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_roundtrip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    page = lambda name: F.expr(f"try_cast(substring_index({name}, ':', -1) as bigint)")
+    return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 #: A document is rejected from this score on.
 TOXIC = 0.3
 
@@ -100,6 +108,15 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+#: The id that ends every document of op7.
+END_ID = 1
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_shards(spark, docs, vocabulary("word_bpe_49k.json"), end_id=END_ID)
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -162,8 +179,10 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_token_shards": op7_token_shards,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_url_filter": op9_url_filter,
     "op10_source_mixing": op10_source_mixing,
