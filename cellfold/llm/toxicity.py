@@ -28,6 +28,8 @@ WORD_ROWS, GRAM_ROWS, WIDTH, STATE = 1 << 14, 1 << 15, 16, 12
 GRAMS = (3, 4, 5)
 #: Bound of the training sample: documents, and characters of a document in it.
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
+#: Words whose n-grams are looked up at a time.
+CHUNK = 1 << 13
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -74,16 +76,10 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
 
-    def inputs(self, distinct: list[str]) -> np.ndarray:
-        """Input vectors of words."""
-        at, grams, sizes = word_rows(distinct)
-        mean = np.add.reduceat(self.weights["gram"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
-        return self.weights["word"][at] + mean
-
     def gates(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The inputs' share of each direction's gates: computed once for each distinct word."""
-        x = self.inputs(distinct)
-        return tuple(x @ self.weights[f"W{d}"] + self.weights[f"b{d}"] for d in "fb")
+        parts = [_gates(self.weights, *word_rows(distinct[i : i + CHUNK])) for i in range(0, len(distinct), CHUNK)]
+        return tuple(np.concatenate(side) for side in zip(*parts, strict=True))
 
     def window_logits(self, gf: np.ndarray, gb: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Logits of windows: ``at`` (windows, WINDOW) numbers words in the rows of ``gf`` and ``gb``."""
@@ -245,42 +241,39 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 12
         return model
     order = rng.permutation(len(texts))
     aside, fit = order[: max(1, len(order) // 10)], order[max(1, len(order) // 10) :]
-    cut = [words(t) for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in cut for w in ws))}
-    word_at, flat, sizes = word_rows(list(number))
-    starts = np.cumsum(sizes) - sizes
-    ids = [np.fromiter(map(number.__getitem__, ws), np.int32, len(ws)) for ws in cut]
-    adam, w = Adam(rate), model.weights
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(x, len(number)) for x in words(t)], np.int32) for t in texts]
+    vocabulary, adam, w = Words(list(number)), Adam(rate), model.weights
+    del number
     for epoch in range(epochs):
         adam.rate = rate * (1.0, 1.0, 0.7, 0.5, 0.3, 0.15)[min(epoch, 5)]
-        gf = gb = None
         shuffled = rng.permutation(fit)
-        for k, i in enumerate(range(0, len(shuffled), batch)):
+        for i in range(0, len(shuffled), batch):
             docs = shuffled[i : i + batch]
+            if i % (8 * batch) == 0:  # windows are ranked by a network at most 8 steps old
+                near = np.unique(np.concatenate([ids[d] for d in shuffled[i : i + 8 * batch]]))
+                sides = [_gates(w, *vocabulary.rows(near[j : j + CHUNK])) for j in range(0, len(near), CHUNK)]
+                gf, gb = (np.concatenate(side) for side in zip(*sides, strict=True))
             at, lengths, owner = windows([ids[d] for d in docs])
-            if k % 8 == 0:  # windows are ranked by a network at most 8 steps old
-                gf, gb = _all_gates(w, word_at, flat, starts, sizes)
-            logit = np.concatenate([model.window_logits(gf, gb, at[j : j + 4096], lengths[j : j + 4096]) for j in range(0, len(at), 4096)])
+            local = np.minimum(np.searchsorted(near, at), len(near) - 1)
+            logit = np.concatenate([model.window_logits(gf, gb, local[j : j + 4096], lengths[j : j + 4096]) for j in range(0, len(at), 4096)])
             noise = 1.0 if epoch == 0 else 0.1  # at first any window may stand for its document
             rank = np.lexsort((logit + noise * rng.standard_normal(len(logit)), owner))
             best = rank[np.r_[owner[rank][1:] != owner[rank][:-1], True]]
             part, size = at[best].T, lengths[best]
             distinct, back = np.unique(part, return_inverse=True)
             back = back.reshape(part.shape)
-            ends = np.cumsum(sizes[distinct])
-            grams = flat[np.arange(ends[-1]) + np.repeat(starts[distinct] - (ends - sizes[distinct]), sizes[distinct])]
-            x = (w["word"][word_at[distinct]] + np.add.reduceat(w["gram"][grams], ends - sizes[distinct], axis=0) / sizes[distinct, None])[back].astype(np.float32)
+            word_at, grams, sizes = vocabulary.rows(distinct)
+            x = _inputs(w, word_at, grams, sizes)[back].astype(np.float32)
             grad, dx = gradients(model, x, size, labels[docs], np.full(len(docs), 1 / len(docs), np.float32))
-            norm = np.sqrt(sum(float((v**2).sum()) for v in grad.values()))
-            grad = {name: v / max(1.0, norm) for name, v in grad.items()}
-            dx = dx / max(1.0, norm)
+            norm = max(1.0, np.sqrt(sum(float((v**2).sum()) for v in grad.values())))
             adam.step += 1
             for name, value in grad.items():
-                adam.update(name, w[name], value)
+                adam.update(name, w[name], value / norm)
             d_word = np.zeros((len(distinct), WIDTH), np.float32)
             live = np.arange(len(part))[:, None] < size[None, :]
-            np.add.at(d_word, back[live], dx[live])
-            for name, at_rows, each in (("word", word_at[distinct], d_word), ("gram", grams, np.repeat(d_word / sizes[distinct, None], sizes[distinct], axis=0))):
+            np.add.at(d_word, back[live], dx[live] / norm)
+            for name, at_rows, each in (("word", word_at, d_word), ("gram", grams, np.repeat(d_word / sizes[:, None], sizes, axis=0))):
                 touched, inverse = np.unique(at_rows, return_inverse=True)
                 total = np.zeros((len(touched), WIDTH), np.float32)
                 np.add.at(total, inverse, each)
@@ -290,11 +283,32 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 12
     return model
 
 
-def _all_gates(w: dict, word_at: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = w["word"][word_at] + np.add.reduceat(w["gram"][flat], starts, axis=0) / sizes[:, None].astype(np.float32)
+def _inputs(w: dict, word_at: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Input vectors of words, given their rows in the two tables."""
+    mean = np.add.reduceat(w["gram"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
+    return w["word"][word_at] + mean
+
+
+def _gates(w: dict, word_at: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = _inputs(w, word_at, grams, sizes)
     return x @ w["Wf"] + w["bf"], x @ w["Wb"] + w["bb"]
 
 
+class Words:
+    """The distinct words of a training sample, with their rows in the two tables."""
+
+    def __init__(self, distinct: list[str]):
+        parts = [word_rows(distinct[i : i + CHUNK]) for i in range(0, len(distinct), CHUNK)]
+        self.at, self.grams, self.sizes = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in range(3))
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+
+    def rows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word rows, n-gram rows, numbers of n-grams) of some words."""
+        sizes = self.sizes[pick].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.at[pick], self.grams[np.arange(ends[-1]) + np.repeat(self.starts[pick] - (ends - sizes), sizes)], sizes
+
+
 def calibrate(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Scale and shift of logits that fit labels best, by Newton steps with a small ridge."""
     a, b = 1.0, 0.0
