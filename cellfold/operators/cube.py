@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The cube's shape: latitudes from the south, longitudes from 0°, age bands, years.
+#: The cube's shape: latitudes from the north, longitudes from 0°, age bands, years.
 LATITUDES, LONGITUDES, AGES, FIRST_YEAR, YEARS = 720, 1440, 14, 1950, 71
 
 
-def year_counts(cube: DataFrame, year: int | None = None, latitudes: int = LATITUDES, longitudes: int = LONGITUDES, south_first: bool = True) -> DataFrame:
+def year_counts(cube: DataFrame, year: int | None = None, latitudes: int = LATITUDES, longitudes: int = LONGITUDES, south_first: bool = False) -> DataFrame:
     """(row, col, value) of a year: sums over age bands, null where every band is null.
 
     ``cube(lat_idx, lon_idx, year, value)`` may have ages and other columns. Longitudes

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` computed once: checkpointed to the folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
 
     A local session without one gets a temporary folder; elsewhere that is an error, as
     executors would lose the data with their machine.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='cellfold-')}")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='cellfold-')}")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` computed once: checkpointed to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
