@@ -18,6 +18,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,20 +31,20 @@ from cellfold.llm.shared import cut, fresh_dir, open_fs, partitions
 MAGIC = b"CFWM1\n"
 #: Bits of a block; ids after which a shard is closed; rows in a range of ids.
 BLOCK_BITS, SHARD_IDS = 1 << 16, 1 << 21
-#: White-space-separated parts of texts that a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 16 << 20
 
 
 # ---------------------------------------------------------------------- format
 def write_shard(out: BinaryIO, ids: np.ndarray, doc_ids: list, sizes: np.ndarray) -> int:
     """Write one shard; returns its bytes."""
-    ids = ids.astype(np.uint32)
     levels = max(1, int(ids.max(initial=0)).bit_length())
+    ids = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     pack = zstandard.ZstdCompressor(level=1).compress
     body, offsets, ones, zeros = [], [], [], []
     at, current = 0, ids
     for level in range(levels - 1, -1, -1):
-        bit = (current >> np.uint32(level)) & np.uint32(1) != 0
+        bit = current & current.dtype.type(1 << level) != 0
         packed = np.packbits(bit, bitorder="little")
         total = 0
         for i in range(0, len(packed), BLOCK_BITS // 8):
@@ -146,46 +147,121 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids in order."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
             blocks = [self._load(level * self._per_level + b) for b in range(self._per_level)]
             bit = np.concatenate([*blocks, np.zeros(0, np.uint8)])[: self.n] != 0
             above, z = np.empty_like(values), self.zeros[level]
             above[~bit] = values[:z]
-            above[bit] = values[z:] | np.uint32(1 << (self.levels - 1 - level))
+            above[bit] = values[z:] | values.dtype.type(1 << (self.levels - 1 - level))
             values = above
-        return values
+        return values.astype(np.uint32)
 
 
 # ------------------------------------------------------------------- tokenizer
 class PartEncoder:
     """A tokenizers-library vocabulary applied to the white-space-separated parts of texts.
 
-    This suits vocabularies that drop white space: no token spans it, so equal parts
-    have equal ids, and each distinct part is encoded once.
+    This suits vocabularies that drop white space and case: no token spans white space,
+    so equal parts have equal ids, and each distinct part of a slice of texts is encoded
+    once. Parts of letters go to the library many at a time; tokens that end a word tell
+    them apart. Others are set apart by a control character that has a token of its own;
+    those that hold it, or the mark of a special token, go one at a time.
     """
 
+    MARK, SPECIAL = "\x01", "<|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        cut_up = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]  # splits at ASCII white space only
-        new = list(set().union(*cut_up) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*cut_up))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            for p, c in zip(part, coded, strict=True):
-                ids = c.ids
-                self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        known = self.known
-        return [b"".join([known[p] for p in parts]) for parts in cut_up]
+        self.tokenizer = Tokenizer.from_file(path)
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):  # distinct parts gain nothing from the library's cache of parts
+            model._resize_cache(0)
+            self.tokenizer.model = model
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closing[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+
+    def _run(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._run([" ".join(parts)])[0]
+        ids = np.array(found.ids, np.uint32)
+        last = np.flatnonzero(self.closing[ids])
+        if len(last) != len(parts):  # lower case or composition cut a part in two
+            return self._marked(parts)
+        return ids, np.diff(last, prepend=-1)
+
+    def _marked(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self._run([f" {self.MARK} ".join(parts)])[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.mark)
+        if self.mark is None or len(at) != len(parts) - 1:
+            return self._single(parts)
+        return np.delete(ids, at), np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+
+    def _single(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._run(parts)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _encode_distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in a row, number of ids of each part)."""
+        special = pc.or_(pc.match_substring(parts, self.SPECIAL), pc.match_substring(parts, self.MARK))
+        kind = np.where(np.asarray(special), 2, np.where(np.asarray(pc.utf8_is_alpha(parts)), 0, 1))
+        order = np.argsort(kind, kind="stable")
+        flat, sizes, grouped, bounds = [], [], parts.take(pa.array(order)), np.searchsorted(kind[order], [0, 1, 2, 3])
+        for k, run in enumerate((self._letters, self._marked, self._single)):
+            for i in range(bounds[k], bounds[k + 1], 1024):
+                ids, n = run(grouped.slice(i, min(1024, bounds[k + 1] - i)).to_pylist())
+                flat.append(ids)
+                sizes.append(n)
+        sizes = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return gather(np.concatenate([*flat, np.zeros(0, np.uint32)]), sizes, back)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text). Null texts have none."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        offsets = np.asarray(words.offsets).astype(np.int64)
+        coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        distinct = coded.dictionary
+        # ASCII case is dropped by the vocabulary, and closing marks after a letter or digit are tokens apart.
+        plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, self.SPECIAL)))
+        lower = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
+        closed = pc.and_(plain, pc.match_substring_regex(lower, r"[0-9a-z][.,;:!?]+$"))
+        core = pc.if_else(closed, pc.ascii_rtrim(lower, ".,;:!?"), lower)
+        tail = pc.if_else(closed, pc.replace_substring_regex(lower, r"^.*[0-9a-z]", ""), "")
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        ids, sizes = self._encode_distinct(both.dictionary)
+        n, pick = len(distinct), np.asarray(both.indices)
+        ids, sizes = gather(ids, sizes, np.stack((pick[:n], pick[n:]), axis=1).ravel())
+        sizes = sizes.reshape(-1, 2).sum(1)
+        ids, each = gather(ids, sizes, np.asarray(coded.indices))
+        bounds = np.concatenate(([0], np.cumsum(each)))[offsets - offsets[0]]
+        return ids, np.diff(bounds)
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` of these sizes, put one after another in the order of ``pick``, and their sizes."""
+    starts, each = (np.cumsum(sizes) - sizes)[pick], sizes[pick]
+    ends = np.cumsum(each)
+    return flat[np.repeat(starts - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)], each
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
+    """Parts of a batch whose texts have about ``limit`` bytes; at least one row each."""
+    ends = np.asarray(pc.cumulative_sum(pc.binary_length(batch.column(column)).fill_null(0).cast(pa.int64())))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 @lru_cache(maxsize=2)
@@ -207,40 +283,44 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     bucket = RangeBuckets(rows, "id", ranges or 4 * partitions(spark)).column()
     dealt = rows.select(bucket.alias("bucket"), "id", "text").repartition(partitions(spark), "bucket")
     dealt = dealt.sortWithinPartitions("bucket", F.asc_nulls_first("id"), "text")
-    end = struct.pack("<I", end_id)
 
     def write(batches):
         encoder, (fs, where), task = part_encoder(path), open_fs(folder), TaskContext.get()
         state = {"bucket": None, "part": 0, "size": 0}
-        doc_ids, coded, done = [], [], []
+        held, done = [], []
 
         def flush() -> None:
-            if not doc_ids:
+            if not held:
                 return
             name = f"ids-{state['bucket']:06d}-{state['part']:06d}-{task.taskAttemptId()}.wm"
             fs.create_dir(where, recursive=True)
-            sizes = np.array([len(c) // 4 for c in coded])
+            doc_ids, ids, sizes = ([x[k] for x in held] for k in range(3))
+            sizes = np.concatenate(sizes)
             with fs.open_output_stream(f"{where}/{name}") as out:
-                write_shard(out, np.frombuffer(b"".join(coded), "<u4"), list(doc_ids), sizes)
+                write_shard(out, np.concatenate(ids), [d for ds in doc_ids for d in ds], sizes)
             done.append((state["bucket"], state["part"], f"{folder}/{name}", len(sizes), int(sizes.sum())))
-            doc_ids.clear()
-            coded.clear()
+            held.clear()
             state["part"] += 1
             state["size"] = 0
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                piece = batch.slice(start, 256)
-                encoded = encoder.encode(piece.column(2).to_pylist())
-                for b, i, data in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), encoded, strict=True):
-                    if b != state["bucket"]:
+            for piece in slices(batch, 2):
+                ids, sizes = encoder.encode(piece.column(2))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                ends = np.cumsum(sizes + 1)
+                bucket, doc_ids, start = np.asarray(piece.column(0)), piece.column(1).to_pylist(), 0
+                while start < len(ends):
+                    if bucket[start] != state["bucket"]:
                         flush()
-                        state |= {"bucket": b, "part": 0}
-                    doc_ids.append(i)
-                    coded.append(data + end)
-                    state["size"] += len(data) // 4 + 1
+                        state |= {"bucket": int(bucket[start]), "part": 0}
+                    before = ends[start - 1] if start else 0
+                    stop = int(np.searchsorted(bucket, bucket[start], "right"))
+                    stop = min(stop, int(np.searchsorted(ends, before + shard_ids - state["size"])) + 1)
+                    held.append((doc_ids[start:stop], ids[before : ends[stop - 1]], sizes[start:stop] + 1))
+                    state["size"] += int(ends[stop - 1] - before)
                     if state["size"] >= shard_ids:
                         flush()
+                    start = stop
         flush()
         columns = list(zip(*done, strict=True)) or [()] * 5
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
