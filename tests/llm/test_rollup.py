@@ -1,0 +1,41 @@
+import pytest
+
+from cellfold.llm.rollup import TokenRollup, deletes, inserts, pattern_counts, revisions
+from cellfold.llm.shared import fresh_dir
+
+COUNTS = "source string, lang string, tokenizer string, n_tokens long, new_tokens long"
+
+
+def totals(rollup):
+    return {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in rollup.totals().collect()}
+
+
+def test_batches(spark):
+    rollup = TokenRollup(spark, fresh_dir(spark, "rollup"))
+    assert totals(rollup) == {} and rollup.batches() == []
+    first = spark.createDataFrame([("a", "en", "v1", 10, 12), ("a", "en", "v1", 5, 5), (None, None, "v1", None, 3), ("b", "de", "v1", 7, 7)], COUNTS)
+    assert rollup.commit("1", inserts(first))
+    assert totals(rollup) == {("a", "en", "v1"): (2, 15), (None, None, "v1"): (1, 0), ("b", "de", "v1"): (1, 7)}
+    assert not rollup.commit("1", inserts(first))  # sent again
+    assert rollup.commit("2", revisions(first))
+    assert totals(rollup)["a", "en", "v1"] == (2, 17) and totals(rollup)[None, None, "v1"] == (1, 3)
+    assert rollup.commit("3", deletes(first.where("source = 'b'")), inserts(first.where("source = 'a'").limit(0)))
+    assert ("b", "de", "v1") not in totals(rollup)
+    assert rollup.batches() == ["1", "2", "3"]
+    with pytest.raises(ValueError):
+        rollup.commit("../x", inserts(first))
+
+
+def test_failed_attempt_is_not_read(spark):
+    rollup = TokenRollup(spark, fresh_dir(spark, "rollup"))
+    rows = spark.createDataFrame([("a", "en", "v1", 10, 12)], COUNTS)
+    inserts(rows).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{rollup.folder}/batch-1")
+    assert totals(rollup) == {}
+    assert rollup.commit("1", inserts(rows)) and totals(rollup) == {("a", "en", "v1"): (1, 10)}
+
+
+def test_counts(odd_docs, empty_docs):
+    rows = pattern_counts(odd_docs, {"words": r"\S+", "letters": "[a-z]"}).collect()
+    by = {(r.doc_id, r.tokenizer): r.n_tokens for r in rows}
+    assert len(rows) == 2 * odd_docs.count() and by[1, "words"] == 9 and by[3, "words"] == by[4, "letters"] == 0
+    assert pattern_counts(empty_docs, {"words": r"\S+"}).count() == 0

@@ -1,0 +1,94 @@
+import gzip
+import io
+import random
+
+import pytest
+
+from cellfold.llm.queries import op4_warc
+from cellfold.llm.shared import fresh_dir, open_fs
+from cellfold.llm.warc import Record, WarcError, digest, member, page_record, read_archives, read_records, write_archives
+
+from tests.conftest import SF
+
+PAGES = "page_id long, url string, html string, note string"
+
+
+def page(i, payload=b"<p>x</p>", revisit=False):
+    return page_record(str(i), f"http://e.org/{i}\r\nX: y", payload, digest(payload), len(payload), "9" if revisit else None, revisit, "2024-01-01T00:00:00Z")
+
+
+def test_round_trip():
+    rng = random.Random(1)
+    records = [page(i, rng.randbytes(rng.choice([0, 1, 70_000, 300_000]))) for i in range(8)] + [page(8, b"same", True)]
+    found = list(read_records(io.BytesIO(b"".join(map(member, records)))))
+    assert [(r.kind, r.block) for r in found] == [(r.kind, r.block) for r in records]
+    assert found[0].headers["WARC-Target-URI"] == "http://e.org/0%0D%0AX: y"
+    assert found[-1].http_length == 4 and found[-1].headers["WARC-Refers-To"] == "<urn:cellfold:page:9>"
+
+
+def test_one_member_per_record():
+    data = member(page(1)) + member(page(2))
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 2
+    assert list(read_records(io.BytesIO(b""))) == []
+
+
+def broken():
+    good = member(page(1))
+    plain = gzip.decompress(good)
+    yield good[:-9]
+    yield good[:20]
+    yield gzip.compress(plain.replace(b"WARC/1.1", b"WARC/9.9"))
+    yield gzip.compress(plain.replace(b"<p>x", b"<p>y"))
+    yield gzip.compress(plain[:-1])
+    yield gzip.compress(plain + b"more")
+    yield gzip.compress(plain.replace(b"Content-Length: ", b"Content-Size: "))
+    yield gzip.compress(b"")
+    yield b"not gzip at all, but long enough"
+    yield good[:60] + bytes([good[60] ^ 255]) + good[61:]
+
+
+@pytest.mark.parametrize("data", list(broken()), ids=lambda d: len(d))
+def test_broken_archives(data):
+    with pytest.raises(WarcError):
+        list(read_records(io.BytesIO(data)))
+
+
+def test_pages(spark):
+    rows = [(1, "http://a/1", "same", "n"), (5, None, "same", "n"), (3, "", "same", "n"), (None, "u", "same", "n"), (7, "u", "", None), (8, "u", None, None), (9, "http://é/\n", "x" * 200_000, "n"), (9, "again", "x" * 200_000, "n")]
+    folder = fresh_dir(spark, "warc")
+    archives = write_archives(spark.createDataFrame(rows, PAGES), folder, archive_bytes=500)
+    assert archives.agg({"records": "sum"}).first()[0] == len(rows) + archives.count()
+    found = read_archives(archives).collect()
+    assert len(found) == len(rows)
+    by = {r.record_id.rpartition(":")[2]: r for r in found}
+    assert by["5"].record_type == "response" and by["1"].record_type == by["3"].record_type == by[""].record_type == "revisit"
+    assert by["1"].refers_to == "urn:cellfold:page:5" and by["1"].payload_bytes == 4 and by["1"].payload is None and by["1"].payload_digest == digest(b"same")
+    assert by["8"].record_type == "response" and by["7"].record_type == "revisit" and by["8"].payload_bytes == 0 and by["5"].url is None
+    assert [r.record_type for r in found if r.record_id.endswith(":9")] == ["response", "response"] and bytes(by["9"].payload) == b"x" * 200_000
+    fs, path = open_fs(archives.first().path)
+    with fs.open_input_stream(path) as stream:
+        assert gzip.decompress(stream.read()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    longer = read_archives(write_archives(spark.createDataFrame(rows, PAGES), fresh_dir(spark, "warc"), least_revisit=5), payloads=False).collect()
+    assert {r.record_type for r in longer} == {"response"}
+
+
+def test_no_pages(spark):
+    archives = write_archives(spark.createDataFrame([], PAGES), fresh_dir(spark, "warc"))
+    assert archives.count() == 0 and read_archives(archives).count() == 0
+
+
+def test_query(spark):
+    rows = {r.page_id: r for r in op4_warc(spark, SF).collect()}
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    last = {}
+    for i in sorted(pages):
+        last[pages[i]] = i
+    assert rows.keys() == pages.keys()
+    for i, payload in pages.items():
+        r = rows[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(payload), digest(payload))
+        assert (r.record_type, r.refers_to) == (("response", None) if last[payload] == i else ("revisit", last[payload]))
+
+
+def test_record_defaults():
+    assert Record("response").payload == b"" and Record("response").http_length is None
