@@ -28,6 +28,8 @@ WORD_ROWS, GRAM_ROWS, WIDTH, STATE = 1 << 14, 1 << 15, 16, 12
 GRAMS = (3, 4, 5)
 #: Bound of the training sample: documents, and characters of a document in it.
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
+#: Share of a training window's words that are blanked, so that no one word is learned by heart.
+DROPPED = 0.15
 #: Words whose n-grams are looked up at a time.
 CHUNK = 1 << 13
 WORD = re.compile(r"[^\W_]+")
@@ -121,7 +123,10 @@ class Model:
             part = texts[start:stop]
             if stop - start == 1 and size > 16 * words_at_once:  # a huge text: windows of one slice of words at a time
                 ws = words(part[0])
-                best = max(float(self.logits([" ".join(ws[i : i + words_at_once + WINDOW])])[0]) for i in range(0, len(ws), words_at_once))
+                step = max(1, words_at_once // STRIDE) * STRIDE
+                last = max(0, -(-(len(ws) - WINDOW) // STRIDE)) * STRIDE
+                # Each slice has the windows that begin in it, and no others.
+                best = max(float(self.logits([" ".join(ws[i : i + step + WINDOW - STRIDE])])[0]) for i in range(0, last + 1, step))
                 logit = np.array([best])
             else:
                 logit = self.logits(part)
@@ -228,9 +233,12 @@ class Adam:
         value[at] -= rate * (m[at] / (1 - 0.9**t)) / (np.sqrt(v[at] / (1 - 0.99**t)) + 1e-6)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.004, seed: int = 5) -> Model:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 5, least_steps: int = 240, rate: float = 0.004, seed: int = 5) -> Model:
     """Fit the network; labels are 0 or 1. Without both labels the score is their constant rate.
 
+    Batches hold 16 to 128 documents; small samples go round more often, for at least
+    ``least_steps`` steps.
+
     The last tenth of the sample, after shuffling, is kept apart to calibrate the score.
     """
     labels = np.asarray(labels, np.float32)
@@ -245,8 +253,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 12
     ids = [np.array([number.setdefault(x, len(number)) for x in words(t)], np.int32) for t in texts]
     vocabulary, adam, w = Words(list(number)), Adam(rate), model.weights
     del number
+    batch = min(128, max(16, len(fit) // 48))
+    epochs = max(epochs, -(-least_steps * batch // max(1, len(fit))))
     for epoch in range(epochs):
-        adam.rate = rate * (1.0, 1.0, 0.7, 0.5, 0.3, 0.15)[min(epoch, 5)]
+        adam.rate = rate * min(1.0, 1.6 * (1 - epoch / epochs))
         shuffled = rng.permutation(fit)
         for i in range(0, len(shuffled), batch):
             docs = shuffled[i : i + batch]
@@ -257,7 +267,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 12
             at, lengths, owner = windows([ids[d] for d in docs])
             local = np.minimum(np.searchsorted(near, at), len(near) - 1)
             logit = np.concatenate([model.window_logits(gf, gb, local[j : j + 4096], lengths[j : j + 4096]) for j in range(0, len(at), 4096)])
-            noise = 1.0 if epoch == 0 else 0.1  # at first any window may stand for its document
+            noise = 1.0 if epoch < epochs / 5 else 0.1  # at first any window may stand for its document
             rank = np.lexsort((logit + noise * rng.standard_normal(len(logit)), owner))
             best = rank[np.r_[owner[rank][1:] != owner[rank][:-1], True]]
             part, size = at[best].T, lengths[best]
@@ -265,7 +275,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 12
             back = back.reshape(part.shape)
             word_at, grams, sizes = vocabulary.rows(distinct)
             x = _inputs(w, word_at, grams, sizes)[back].astype(np.float32)
+            shown = (rng.random(part.shape) >= DROPPED)[:, :, None].astype(np.float32)
+            x *= shown
             grad, dx = gradients(model, x, size, labels[docs], np.full(len(docs), 1 / len(docs), np.float32))
+            dx *= shown
             norm = max(1.0, np.sqrt(sum(float((v**2).sum()) for v in grad.values())))
             adam.step += 1
             for name, value in grad.items():
@@ -310,18 +323,22 @@ class Words:
 
 
 def calibrate(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of logits that fit labels best, by Newton steps with a small ridge."""
+    """Scale and shift of logits that fit labels best, near 1 and 0 where there are few labels.
+
+    Newton steps of bounded length on the log loss with a penalty for leaving (1, 0).
+    """
     a, b = 1.0, 0.0
-    for _ in range(30):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
         s = p * (1 - p)
-        g = np.array([((p - labels) * logit).sum() + 2.0 * (a - 1), (p - labels).sum()])
-        h = np.array([[(s * logit**2).sum() + 2.0, (s * logit).sum()], [(s * logit).sum(), s.sum() + 1e-3]])
+        g = np.array([((p - labels) * logit).sum() + 4.0 * (a - 1), (p - labels).sum() + 0.5 * b])
+        h = np.array([[(s * logit**2).sum() + 4.0, (s * logit).sum()], [(s * logit).sum(), s.sum() + 0.5]])
         step = np.linalg.solve(h, g)
+        step *= min(1.0, 0.5 / np.abs(step).max(initial=1e-12))
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(a, 0.05)), float(b)
+    return float(min(max(a, 0.2), 3.0)), float(b)
 
 
 # -------------------------------------------------------------------- operator
