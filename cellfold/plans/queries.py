@@ -1,7 +1,7 @@
 """Registered queries of the grid operators over the driver's tables, each with plain SQL.
 
-A grid of counts is made of ``lineitem``: cell (row, col) = (supplier mod 16, part mod
-16), the quantities summed; every seventh cell has no data. Polygons come from the keys
+A grid of counts is made of ``lineitem``: cell (row, col) = (order mod 16, part mod 16),
+the quantities summed; every seventh cell has no data. Polygons come from the keys
 of ``nation`` and ``supplier``. The SQL uses other formulas than the operators: overlaps
 of intervals on a cross join of small tables, and closed forms.
 """
@@ -42,7 +42,7 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
 # ---------------------------------------------------------------------- inputs
 def counts(spark: SparkSession, sf_dir: str, holes: bool = True, crs: str = "EPSG:3857", left: float = 0.0, top: float = 16.0, cell: tuple[float, float] = (1.0, 1.0)) -> Raster:
     """The grid of counts. Its no-data cells are null."""
-    sums = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % SIDE).cast("int").alias("row"), (F.col("l_partkey") % SIDE).cast("int").alias("col")).agg(F.sum("l_quantity").alias("value"))
+    sums = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % SIDE).cast("int").alias("row"), (F.col("l_partkey") % SIDE).cast("int").alias("col")).agg(F.sum("l_quantity").alias("value"))
     if holes:
         sums = sums.withColumn("value", F.when((F.col("row") * SIDE + F.col("col")) % 7 != 0, F.col("value")))
     return Raster(GridSpec.north_up(left, top, *cell, SIDE, SIDE, crs), sums)
@@ -81,8 +81,8 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The inputs above in SQL. Row r of the grid lies between y = 15 - r and 16 - r.
-GRID = f"""grid AS (SELECT (l_suppkey % {SIDE})::INT AS r, (l_partkey % {SIDE})::INT AS c, sum(l_quantity) AS v0,
-  CASE WHEN ((l_suppkey % {SIDE}) * {SIDE} + l_partkey % {SIDE}) % 7 <> 0 THEN sum(l_quantity) END AS v FROM lineitem GROUP BY l_suppkey % {SIDE}, l_partkey % {SIDE})"""
+GRID = f"""grid AS (SELECT (l_orderkey % {SIDE})::INT AS r, (l_partkey % {SIDE})::INT AS c, sum(l_quantity) AS v0,
+  CASE WHEN ((l_orderkey % {SIDE}) * {SIDE} + l_partkey % {SIDE}) % 7 <> 0 THEN sum(l_quantity) END AS v FROM lineitem GROUP BY l_orderkey % {SIDE}, l_partkey % {SIDE})"""
 BOXES = """boxes AS (SELECT n_nationkey AS key, (n_nationkey % 5) * 3 + 0.25::DOUBLE + {dx} AS x0, (n_nationkey // 5) * 3 + 0.5::DOUBLE AS y0,
   (n_nationkey % 5) * 3 + 0.25::DOUBLE + {dx} + 1.5 + (n_nationkey % 3) * 0.5 AS x1, (n_nationkey // 5) * 3 + 2.75::DOUBLE AS y1 FROM nation)"""
 #: Share of cell (r, c) in a box.
@@ -281,7 +281,7 @@ def cube_year_total(spark, sf_dir):
 
 def fine_coarse_parity(spark, sf_dir):
     """Block sums of the counts against a coarse grid of the same quantities, summed apart."""
-    coarse = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_suppkey") % SIDE / 4).cast("int").alias("row"), F.floor(F.col("l_partkey") % SIDE / 4).cast("int").alias("col")).agg((F.sum("l_quantity") + F.max("l_quantity") / 10).alias("value"))
+    coarse = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_orderkey") % SIDE / 4).cast("int").alias("row"), F.floor(F.col("l_partkey") % SIDE / 4).cast("int").alias("col")).agg((F.sum("l_quantity") + F.max("l_quantity") / 10).alias("value"))
     found = compare(counts(spark, sf_dir, holes=False), Raster(_target(4, 4), coarse))
     return rounded(found.select("row", "col", "fine", "coarse", "same"), 4)
 
@@ -390,7 +390,7 @@ ORACLES = {
     "reproject_mercator_box": "SELECT n_nationkey AS key, round(6378137.0::DOUBLE ** 2 * radians(12) * (ln(tan(pi() / 4 + radians(n_nationkey * 1.1 - 11) / 2)) - ln(tan(pi() / 4 + radians(n_nationkey * 1.1 - 20) / 2))) / 1e10, 2) AS area FROM nation",
     "reproject_mollweide_area": "SELECT n_nationkey AS key, round(6378137.0::DOUBLE ** 2 * radians(12) * (sin(radians(n_nationkey * 1.1 - 11)) - sin(radians(n_nationkey * 1.1 - 20))) / 1e10, 2) AS area FROM nation",
     "cube_year_total": "SELECT (user_id % 18)::INT AS row, ((event_id % 36 + 18) % 36)::INT AS col, round(sum(CASE WHEN event_id % 11 <> 0 THEN value END), 6) AS value FROM events WHERE event_id % 3 = 1 GROUP BY user_id % 18, event_id % 36",
-    "fine_coarse_parity": "SELECT (l_suppkey % 16 // 4)::INT AS row, (l_partkey % 16 // 4)::INT AS col, round(sum(l_quantity), 4) AS fine, round(sum(l_quantity) + max(l_quantity) / 10, 4) AS coarse, max(l_quantity) / 10 <= 1 AS same FROM lineitem GROUP BY l_suppkey % 16 // 4, l_partkey % 16 // 4",
+    "fine_coarse_parity": "SELECT (l_orderkey % 16 // 4)::INT AS row, (l_partkey % 16 // 4)::INT AS col, round(sum(l_quantity), 4) AS fine, round(sum(l_quantity) + max(l_quantity) / 10, 4) AS coarse, max(l_quantity) / 10 <= 1 AS same FROM lineitem GROUP BY l_orderkey % 16 // 4, l_partkey % 16 // 4",
     "catalog_list": "SELECT * FROM (VALUES ('worldpop-global-1km', 2000, 2020, 21, 'EPSG:4326', 43200, 18720, 'residential'), ('ghsl-r2023a-mollweide-1km', 1975, 2020, 10, 'ESRI:54009', 36082, 18000, 'residential'), ('gpwv4-r11-count', 2000, 2020, 5, 'EPSG:4326', 43200, 21600, 'residential'), ('chambers-hybrid', 1950, 2020, 71, 'EPSG:4326', 1440, 720, 'residential'), ('landscan-global', 2000, 2024, 25, 'EPSG:4326', 43200, 21600, 'ambient')) t(source_id, first_year, last_year, n_years, crs, width, height, meaning)",
     "catalog_selection_check": "WITH s(id, a, b, step) AS (VALUES ('worldpop-global-1km', 2000, 2020, 1), ('ghsl-r2023a-mollweide-1km', 1975, 2020, 5), ('gpwv4-r11-count', 2000, 2020, 5), ('chambers-hybrid', 1950, 2020, 1), ('landscan-global', 2000, 2024, 1)) SELECT id || ':' || (1996 + n_nationkey)::VARCHAR AS selection, 1996 + n_nationkey BETWEEN a AND b AND (1996 + n_nationkey - a) % step = 0 AS known FROM nation, s",
     "stream_static_assignment": "SELECT event_type, count(*) AS events, count(c_custkey) AS matched, round(sum(abs(c_acctbal) + 1), 3) AS population FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY 1",
