@@ -170,13 +170,13 @@ def _stack(pair):
     return np.stack(pair, axis=1)
 
 
-def _describe(rows: list, count: int, what: str) -> str:
-    text = ", ".join(f"{r['name']} {what} {r['share']:.1%}" for r in rows)
+def _describe(rows: list, count: int, what: str, name) -> str:
+    text = ", ".join(f"{name(r['fid'])} {what} {r['share']:.1%}" for r in rows)
     return f"{text}, and {count - len(rows)} more" if count > len(rows) else text
 
 
 def _worst(summary: DataFrame, test: Column, share: Column) -> tuple[int, list]:
-    bad = summary.where(test).select("fid", F.col("fid").cast("string").alias("name"), share.alias("share"))
+    bad = summary.where(test).select("fid", share.alias("share"))
     count = bad.count()
     return count, (bad.orderBy("fid").limit(NAMED).collect() if count else [])
 
@@ -207,6 +207,8 @@ def assign_polygons(
     reprojecting = C.match(hazard, population.spec.crs, allow_reprojection)
     raster = population.masked()
     numbered = keep(layer.frame.withColumn("__fid", F.col(row_id) if row_id else F.monotonically_increasing_id()))
+    # Errors name a row by its id, or else by its place in the order Spark reads rows in.
+    name = str if row_id else (lambda fid: str(numbered.where(F.col("__fid") < fid).count()))
     features = numbered.select(F.col("__fid").alias("fid"), F.col(layer.geometry).cast(G.SCHEMA).alias("geometry"))
     features = on_grid(features, hazard, raster.spec, antimeridian, reprojecting)
     if antimeridian == "split" or reprojecting:
@@ -214,7 +216,7 @@ def assign_polygons(
         if features.where(~_valid(F.col("geometry"))).limit(1).count():
             raise ValueError("hazard vector has invalid geometry.")
     if not allow_overlaps and (pair := first_overlap(features)):
-        raise ValueError(f"hazard vector has overlapping polygons at rows {pair[0]} and {pair[1]}; pass allow_overlaps=True for independent, non-additive totals.")
+        raise ValueError(f"hazard vector has overlapping polygons at rows {name(pair[0])} and {name(pair[1])}; pass allow_overlaps=True for independent, non-additive totals.")
     total = validate_population(raster)
     cell = raster.spec.cell_area
     summary = keep(zonal_summary(features, raster))
@@ -222,14 +224,14 @@ def assign_polygons(
     note = _longitude_note(features, raster.spec)
     count, rows = _worst(summary, coverage <= 0, coverage)
     if count:
-        raise PartialCoverageError(f"{count} hazard {'feature lies' if count == 1 else 'features lie'} entirely outside the population grid: {_describe(rows, count, 'covered')}.{note()}")
+        raise PartialCoverageError(f"{count} hazard {'feature lies' if count == 1 else 'features lie'} entirely outside the population grid: {_describe(rows, count, 'covered', name)}.{note()}")
     count, rows = (0, []) if allow_partial_coverage else _worst(summary, coverage < 1 - TOLERANCE, coverage)
     if count:
-        raise PartialCoverageError(f"{count} hazard {'feature reaches' if count == 1 else 'features reach'} outside the population grid: {_describe(rows, count, 'covered')}.{note()} Clip the geometry, or pass allow_partial_coverage=True for partial totals with their coverage.")
+        raise PartialCoverageError(f"{count} hazard {'feature reaches' if count == 1 else 'features reach'} outside the population grid: {_describe(rows, count, 'covered', name)}.{note()} Clip the geometry, or pass allow_partial_coverage=True for partial totals with their coverage.")
     fraction, complete = data_fraction(F.col("valid"), F.col("area"), cell)
     count, rows = (0, []) if allow_missing_population_data else _worst(summary, fraction <= 0, fraction)
     if count:
-        raise MissingPopulationDataError(f"{count} hazard {'feature has' if count == 1 else 'features have'} no population values anywhere: {_describe(rows, count, 'has data for')}. No data is not zero people; pass allow_missing_population_data=True for nulls.")
+        raise MissingPopulationDataError(f"{count} hazard {'feature has' if count == 1 else 'features have'} no population values anywhere: {_describe(rows, count, 'has data for', name)}. No data is not zero people; pass allow_missing_population_data=True for nulls.")
     added = {population_column: F.when(F.col("valid") > 0, F.col("total")), DATA_FRACTION: fraction, DATA_COMPLETE: complete}
     if allow_partial_coverage:
         covered = coverage >= 1 - TOLERANCE

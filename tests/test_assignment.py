@@ -160,8 +160,10 @@ def test_missing_data(make):
 
 def test_overlaps(make):
     layer = make.layer(G.box(0, 0, 2, 2), G.box(1, 0, 2, 2))
-    with pytest.raises(ValueError, match="overlapping"):
+    with pytest.raises(ValueError, match="overlapping polygons at rows 0 and 1"):
         assign_population(layer, make.grid(BASIC))
+    with pytest.raises(ValueError, match="overlapping polygons at rows 0 and 1"):
+        assign_population(layer, make.grid(BASIC), row_id="n")
     assert [r[0] for r in make.rows(assign_population(layer, make.grid(BASIC), allow_overlaps=True))] == [10.0, 6.0]
     touching = make.layer(G.box(0, 0, 1, 2), G.box(1, 0, 2, 2), "POLYGON ((0 0, 1 0, 0 0.0000001, 0 0))")
     with pytest.raises(ValueError, match="overlapping"):

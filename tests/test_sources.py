@@ -177,3 +177,16 @@ def test_cells_as_a_table(spark):
     assert sorted(map(tuple, cell_centers(made).collect())) == [(-1.75, 2.625, 3.0), (-1.75, 2.875, 1.0), (-1.25, 2.625, 4.0)]
     rows, cols = block_columns(made.spec)
     assert made.cells.select(rows.alias("r"), cols.alias("c")).distinct().collect() == [(0, 0)]
+
+
+@pytest.mark.parametrize("name", ["t.csv", "t.parquet", "t.orc", "t.jsonl"])
+def test_tables(spark, tmp_path, name):
+    from cellfold.sources.tables import read_table, write_table
+
+    frame = spark.createDataFrame([("a", 1.5), ("b", None)], "cell string, population double")
+    write_table(frame, str(tmp_path / name))
+    found = read_table(spark, str(tmp_path / name), "cell string, population double")
+    assert sorted(map(tuple, found.collect())) == [("a", 1.5), ("b", None)]
+    if name == "t.csv":
+        with pytest.raises(ValueError, match="schema"):
+            read_table(spark, str(tmp_path / name))
