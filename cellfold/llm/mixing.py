@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.shared import cut
+from cellfold.llm.shared import cut, literal_table
 
 #: Sources up to this many are broadcast with their rates; beyond it the join shuffles.
 BROADCAST_SOURCES = 2_000
@@ -53,7 +53,7 @@ def replication_rates(docs: DataFrame, weights: Mapping[str, float] | DataFrame,
     """
     spark = docs.sparkSession
     if not isinstance(weights, DataFrame):
-        weights = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
+        weights = literal_table(spark, [(k, float(v)) for k, v in weights.items()], {"source": "string", "weight": "double"})
     given = weights.select(F.col("source").cast("string").alias("__s"), F.col("weight").cast("double").alias("__w")).where("__w > 0")
     counts = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count("*").alias("n"))
     plain = F.when(F.col("source").isNull(), 0.0).otherwise(F.coalesce("__w", F.lit(float(default_weight))))

@@ -7,6 +7,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,13 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A small table from literals, in DataFrame operations only; ``columns`` maps names to types."""
+    typed = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, columns.items(), strict=True)]) for row in rows]
+    empty = F.array().cast(f"array<struct<{','.join(f'{c}:{t}' for c, t in columns.items())}>>")
+    return spark.range(1).select(F.inline(F.array(*typed) if typed else empty))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,12 +8,15 @@ work per URL does not grow with the number of rules.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellfold.llm.shared import cut, literal_table
+
 #: Rules are broadcast up to this many; beyond it the token join shuffles.
 BROADCAST_RULES = 100_000
 
@@ -33,9 +36,11 @@ class Rule:
 
 def url_host(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end; A-Z lower-cased."""
-    found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.coalesce(F.translate(found, upper, lower), F.lit(""))
+    return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def url_path(url: Column) -> Column:
@@ -83,23 +88,26 @@ def rule_index(rules: DataFrame, frequency: DataFrame) -> DataFrame:
     return best.select(F.col("best.token").alias("token"), F.concat("host", "path").alias("rule"), "verdict", regex.alias("regex"))
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict of each row's URL.
 
     * The longest rule (host and path together) that fits wins; of rules as long, a
       blocking one, then the largest by name. No rule: ``rule`` null, verdict ``default``.
     * A null URL, or one without ``://``, has empty host and path, and fits only a rule
       whose host and path are empty.
+    * ``rules`` are few, or a table (host, path, verdict) of any size.
     * Repeated rows stay; distinct URLs are judged once. Columns named host, path,
       rule or verdict in the input are an error.
     """
     if clash := {"host", "path", "rule", "verdict"} & set(pages.columns):
         raise ValueError(f"output column {sorted(clash)[0]!r} already exists")
-    spark, rules = pages.sparkSession, list(rules)
+    if not isinstance(rules, DataFrame):
+        rules = literal_table(pages.sparkSession, [(r.host, r.path, r.verdict) for r in rules], {"host": "string", "path": "string", "verdict": "string"})
+    table = cut(rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").distinct())
+    known = table.count()
     split = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
-    if not rules:
+    if not known:
         return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    table = spark.createDataFrame([(r.host.lower(), r.path, r.verdict) for r in rules], "host string, path string, verdict string")
     urls = split.select("host", "path").distinct()
     parts = F.concat(
         F.transform(tokens(F.col("host")), lambda t: F.concat(F.lit("h:"), t)),
@@ -108,7 +116,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], url_col: str = "url", d
     )
     held = urls.withColumn("token", F.explode(F.array_distinct(parts)))
     # Only tokens that rules hold need counting: the counted table is as small as the rules.
-    small = len(rules) <= BROADCAST_RULES
+    small = known <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda df: df)
     asked = table.select(F.explode(whole_tokens(F.col("host"), F.col("path"))).alias("token")).distinct()
     frequency = held.join(hint(asked), "token").groupBy("token").agg(F.count("*").alias("n"))

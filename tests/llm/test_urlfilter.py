@@ -49,6 +49,12 @@ def test_clashing_and_empty(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
 
 
+def test_rules_in_a_table(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in ALL], "host string, path string, verdict string")
+    assert comparable(filter_urls(pages, table).toPandas()) == comparable(filter_urls(pages, ALL).toPandas())
+
+
 def test_shuffled_rules_give_the_same(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     first = filter_urls(pages, ALL).toPandas()
