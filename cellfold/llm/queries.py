@@ -93,6 +93,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+OP4_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+hashed AS (SELECT page_id, strlen(payload) AS bytes, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+SELECT page_id, bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed
+"""
+
 #: A document is rejected from this score on.
 TOXIC = 0.3
 
@@ -108,6 +118,18 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x), least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.y, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least.y, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id
+"""
+
 #: The id that ends every document of op7.
 END_ID = 1
 
@@ -190,6 +212,8 @@ QUERIES = {
 
 ORACLES = {
     "op3_token_counts": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_source_mixing": OP10_SQL,
 }
