@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.shared import cut
+from cellfold.llm.shared import cut, split_join
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -46,27 +46,18 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(mixed), F.lit(0))).first())
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` with the minimum of their node ``u``.
-
-    The hash as a second key makes both sides shuffle, so that a hub's edges can be split.
-    """
-    twice = lambda df: df.withColumn("u2", F.hash("u"))
-    return twice(edges).join(twice(least), ["u", "u2"])
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to the smallest node in its closed neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = _with_least(both.where("v > u"), least)
+    moved = split_join(both.where("v > u"), least, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and the node, move to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _with_least(edges, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = split_join(edges, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return moved.union(own).where("u <> v").distinct()
 

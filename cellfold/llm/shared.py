@@ -43,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def split_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``few`` on ``key``, a key of ``few``.
+
+    The hash as a second key makes both sides shuffle, so that the rows of a hot key can
+    be split over tasks.
+    """
+    second = f"__{key}2"
+    twice = lambda df: df.withColumn(second, F.hash(key))
+    return twice(rows).join(twice(few), [key, second], how).drop(second)
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a folder URI, on the driver or an executor."""
     from pyarrow import fs

@@ -10,7 +10,6 @@ import corpus_pipeline
 from cellfold.llm.bpe import load
 from cellfold.llm.components import forest
 from cellfold.llm.queries import MIX_SEED, QUERIES, TOXIC, WEIGHTS, pattern, vocabulary
-from cellfold.llm.simhash import fingerprint
 from cellfold.llm.toxicity import fit
 
 from tests.conftest import SF
@@ -54,24 +53,13 @@ def shingle_set(text):
 
 
 def test_simhash_stage(stages):
+    """One document, that of the smallest id, of each component of Jaccard links over all pairs."""
     given, made = stages["simhash_near_dedup"]
-    kept = sorted(given.collect(), key=lambda r: r.doc_id)
-    fps = np.array([fingerprint(r.text) for r in kept], np.uint64)
-
-    def survivors(rows, fps, linked):
-        a, b = np.nonzero(np.triu(linked, 1))
-        label = forest(a, b, len(rows))
-        keep = label == np.arange(len(rows))
-        return [r for r, k in zip(rows, keep) if k], fps[keep]
-
-    distance = lambda f: np.bitwise_count(f[:, None] ^ f[None, :])
-    kept, fps = survivors(kept, fps, distance(fps) <= 3)
-    for radius in (7, 11):
-        sets, near = [shingle_set(r.text) for r in kept], distance(fps) <= radius
-        for i, j in np.argwhere(np.triu(near, 1)):
-            near[i, j] = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-        kept, fps = survivors(kept, fps, near)
-    assert sorted(r.doc_id for r in made.collect()) == [r.doc_id for r in kept]
+    rows = sorted(given.collect(), key=lambda r: r.doc_id)
+    sets = [shingle_set(r.text) for r in rows]
+    a, b = np.array([(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]).reshape(-1, 2).T
+    root = forest(a, b, len(rows)) == np.arange(len(rows))
+    assert len(a) and sorted(r.doc_id for r in made.collect()) == [r.doc_id for r, k in zip(rows, root, strict=True) if k]
 
 
 def test_mixing_stage(stages):
