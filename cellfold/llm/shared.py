@@ -54,6 +54,18 @@ def split_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") ->
     return twice(rows).join(twice(few), [key, second], how).drop(second)
 
 
+def unused(columns: list[str], *wanted: str) -> dict[str, str]:
+    """Names for inner columns that no column of an input has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = {}
+    for name in wanted:
+        inner = f"__{name}"
+        while inner in taken:
+            inner += "_"
+        out[name] = inner
+    return out
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a folder URI, on the driver or an executor."""
     from pyarrow import fs

@@ -1,12 +1,13 @@
 import hashlib
 import math
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from cellfold.llm.mixing import mix_sources, poisson_steps, replication_rates
-from cellfold.llm.queries import ORACLES, op3_token_counts, op10_source_mixing
+from cellfold.llm.queries import ORACLES, op3_token_counts, op8_document_fingerprints, op9_url_filter, op10_source_mixing
 
 from tests.conftest import SF, comparable
 
@@ -66,6 +67,35 @@ def test_empty_clash_and_total(spark, empty_docs, odd_docs):
     assert mix_sources(odd_docs, {}).count() == 0
 
 
+def test_null_sources_are_a_source(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(2000)], "doc_id long, source string")
+    rates = {r.source: r.rate for r in replication_rates(docs, {"a": 3.0}, default_weight=1.0).collect()}
+    assert rates == {"a": pytest.approx(1.5), None: pytest.approx(0.5)}
+    found = Counter(r.source for r in mix_sources(docs, {"a": 3.0}, default_weight=1.0).collect())
+    assert found[None] == sum(draw(i, 0.5, 17) for i in range(0, 2000, 2)) and found["a"] == sum(draw(i, 1.5, 17) for i in range(1, 2000, 2))
+
+
+def test_large_rates(spark):
+    """One row of a source stands for half of a large mix: parts of bounded rate, spread over partitions."""
+    docs = spark.createDataFrame([(0, "one"), *((i, "many") for i in range(1, 1001))], "doc_id long, source string")
+    start = time.perf_counter()
+    found = mix_sources(docs, {"one": 1.0, "many": 1.0}, total=1_200_000)
+    one = found.where("source = 'one'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("copy").alias("copies"))
+    sizes = [r.n for r in one.collect() if r.n == r.copies]
+    assert sum(sizes) == pytest.approx(600_000, rel=0.01) and max(sizes) < 2 * sum(sizes) / 4
+    assert found.where("source = 'one'").select("copy").distinct().count() == sum(sizes)
+    assert found.where("source = 'many'").count() == pytest.approx(600_000, rel=0.01) and time.perf_counter() - start < 120
+    steps = replication_rates(docs, {"one": 1.0}, total=10**9).where("rate > 0").select(F.size(poisson_steps(F.col("rate") / F.ceil(F.col("rate") / 256))).alias("n"), "rate").first()
+    assert steps.rate == 10**9 and steps.n < 1000
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "a", "x", "y", "z") for i in range(50)], "doc_id long, source string, __of string, __N string, __order string")
+    found = mix_sources(docs, {"a": 1.0})
+    assert found.columns == [*docs.columns, "copy"] and sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in mix_sources(docs.select("doc_id", "source"), {"a": 1.0}).collect())
+    assert {(r["__of"], r["__N"], r["__order"]) for r in found.collect()} == {("x", "y", "z")}
+
+
 def test_without_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"s{i % 7}") for i in range(300)], "doc_id long, source string")
     first = sorted(map(tuple, mix_sources(docs, {}, default_weight=1.0, total=900).collect()))
@@ -79,6 +109,6 @@ def test_queries(spark, duck, name, query):
 
 
 def test_native_plans(spark):
-    for query in (op10_source_mixing,):
+    for query in (op8_document_fingerprints, op9_url_filter, op10_source_mixing):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
