@@ -5,12 +5,16 @@ is encoded once. Pieces of like length share a matrix of token ids, one piece pe
 column. In each round every piece merges its leftmost pair of minimum rank: the
 pair's rank comes from an open-addressing hash table, the merged id takes the
 pair's place, and the cells after it move up by one. Finished pieces leave.
+
+A piece of more than ``LONG`` bytes is a matrix of its own, cut into rows of ``LONG``
+cells: the rows' minima tell the leftmost pair of minimum rank, merged cells die in
+place, and a round touches the rows of its neighbours only.
 """
 
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of a piece matrix, characters of text per slice, pieces remembered.
 CELLS, SLICE, REMEMBERED = 1 << 20, 1 << 20, 200_000
+#: Bytes of a piece that is still merged beside others.
+LONG = 1024
 
 
 class PairTable:
@@ -74,6 +80,7 @@ class ByteBpe:
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = np.array(pairs, np.int64).reshape(-1, 3).T
         self.pairs = PairTable((left << 32) | right, merged.astype(np.int32))
+        self.merges = left, right, merged
         self.known: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str):
@@ -92,10 +99,12 @@ class ByteBpe:
         rest = []
         for i, data in enumerate(raw):
             whole = self.ranks.get(data)
-            if whole is None:
-                rest.append(i)
-            else:
+            if whole is not None:
                 self.known[new[i]] = (whole,)
+            elif len(data) > LONG:
+                self.known[new[i]] = self._merge_long(data)
+            else:
+                rest.append(i)
         rest.sort(key=lambda i: len(raw[i]))
         start = 0
         while start < len(rest):
@@ -143,6 +152,39 @@ class ByteBpe:
             rank[pos[near] - 1, col[near]] = self.pairs.get(ids[pos[near] - 1, col[near]], ids[pos[near], col[near]])
         return out
 
+    @cached_property
+    def of_pair(self) -> dict[tuple[int, int], int]:
+        """The pair table for single pairs, which only long pieces need."""
+        left, right, merged = (x.tolist() for x in self.merges)
+        return dict(zip(zip(left, right, strict=True), merged, strict=True))
+
+    def _merge_long(self, data: bytes) -> tuple[int, ...]:
+        n, of_pair, none = len(data), self.of_pair, int(NONE)
+        ids = self.of_byte[np.frombuffer(data, np.uint8)]
+        rank = np.full(-(-n // LONG) * LONG, NONE, np.int32)
+        rank[: n - 1] = self.pairs.get(ids[:-1], ids[1:])
+        rows = rank.reshape(-1, LONG)
+        least, ids = rows.min(1), ids.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while True:
+            row = int(least.argmin())
+            merged = int(least[row])
+            if merged == none:
+                break
+            at = row * LONG + int(rows[row].argmin())
+            gone, left = after[at], before[at]
+            right = after[gone]
+            ids[at], ids[gone], after[at] = merged, -1, right
+            rank[gone], rank[at] = none, none
+            if right < n:
+                before[right] = at
+                rank[at] = of_pair.get((merged, ids[right]), none)
+            if left >= 0:
+                rank[left] = of_pair.get((ids[left], merged), none)
+            for k in {row, gone // LONG, max(left, 0) // LONG}:
+                least[k] = rows[k].min()
+        return tuple(i for i in ids if i >= 0)
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of whole texts; null and empty texts have none."""
         out: list[np.ndarray] = []
@@ -221,7 +263,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
 
 
 def bpe_decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """``rows`` with the bytes of each id array; null arrays give empty bytes."""
+    """``rows`` with the bytes of each id array; null and empty arrays give empty bytes.
+
+    Repeated rows stay and an empty table gives an empty result. A column that has the
+    name ``decoded_col`` already is an error, and so is an id that isn't in the vocabulary.
+    """
+    if decoded_col in rows.columns:
+        raise ValueError(f"output column {decoded_col!r} already exists")
 
     @F.pandas_udf("binary")
     def run(ids):

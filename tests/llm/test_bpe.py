@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +40,18 @@ def test_long_text_in_slices(pair, monkeypatch):
     assert own.encode_batch([text, "x", text])[2].tolist() == library.encode_ordinary(text)
 
 
+def test_long_pieces(pair):
+    """Single pieces around the row width and beyond, and one of a megabyte in bounded time."""
+    own, library = pair
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "日本語é") for n in (1023, 1024, 1025, 2049, 5000)]
+    pieces += ["a" * 4000, "=" * 3001, "\n" * 2500]
+    for ids, text in zip(own.encode_batch(pieces), pieces, strict=True):
+        assert ids.tolist() == library.encode_ordinary(text) and own.decode(ids) == text.encode()
+    start, whole = time.perf_counter(), "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    assert own.decode(own.encode_batch([whole])[0]) == whole.encode() and time.perf_counter() - start < 120
+
+
 def test_pair_table():
     rng = np.random.default_rng(1)
     left, right = rng.integers(0, 50_000, (2, 5000))
@@ -58,6 +71,11 @@ def test_odd_rows(odd_docs, empty_docs, pair):
     assert bpe.bpe_encode(empty_docs, path, pat).count() == 0
     with pytest.raises(ValueError, match="fp"):
         bpe.bpe_encode(odd_docs, path, pat, ids_col="fp")
+    with pytest.raises(ValueError, match="fp"):
+        bpe.bpe_decode(bpe.bpe_encode(odd_docs, path, pat), path, pat, decoded_col="fp")
+    nulls = bpe.bpe_encode(odd_docs.limit(1), path, pat).selectExpr("doc_id", "cast(null as array<int>) ids")
+    assert [bytes(r.decoded) for r in bpe.bpe_decode(nulls, path, pat).collect()] == [b""]
+    assert bpe.bpe_decode(bpe.bpe_encode(empty_docs, path, pat), path, pat).count() == 0
     again = bpe.bpe_decode(bpe.bpe_encode(odd_docs, path, pat), path, pat).collect()
     assert all(bytes(r.decoded) == (whole[r.doc_id] or "").encode() for r in again)
 
