@@ -52,15 +52,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Token patterns of the rollup query, by tokenizer version.
 TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-1": r"[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]"}
 
+#: Words with an ASCII letter. A word is tried from its start only, so that a long one takes linear time.
+RECOUNT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0DA-Za-z]*+[A-Za-z][^\x20\x09-\x0D]*+"
+
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches, the second of which is sent twice.
+    """Totals after three batches, the second of which is sent twice, compacted after the second.
 
     All documents come in; then "words-1" is recounted without words that lack an
     ASCII letter; then documents of fewer than 20 of those words go.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    worded = {**TOKENIZERS, "recount": r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*"}
+    worded = {**TOKENIZERS, "recount": RECOUNT}
     # One narrow row per document, so that texts are counted once for all batches.
     text = F.coalesce("text", F.lit(""))
     each = cut(docs.select("source", "lang", *[F.regexp_count(text, F.lit(p)).cast("long").alias(k) for k, p in worded.items()]))
@@ -70,6 +73,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("1", inserts(named("words-1", "words-1")), inserts(named("pieces-1", "pieces-1")))
     for _ in range(2):
         rollup.commit("2", revisions(named("words-1", "words-1")))
+    rollup.compact()
     rollup.commit("3", deletes(named("words-1", "recount", short)), deletes(named("pieces-1", "pieces-1", short)))
     return rollup.totals()
 
@@ -185,16 +189,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 WITH given(source, w) AS (VALUES ('src0', 4.0), ('src1', 3.0), ('src2', 2.0), ('src3', 0.5), ('src4', 0.25)),
 counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-weighted AS (SELECT c.source, n, CASE WHEN c.source IS NULL THEN 0 ELSE coalesce(w, 1.0) END::DOUBLE AS w FROM counts c LEFT JOIN given g ON c.source = g.source),
-rates AS (SELECT source, w / (SELECT sum(w) FROM weighted) * (SELECT sum(n) FROM weighted)::DOUBLE / n AS rate FROM weighted WHERE w > 0),
+weighted AS (SELECT c.source, n, coalesce(w, 1.0)::DOUBLE AS w FROM counts c LEFT JOIN given g ON c.source = g.source),
+whole AS (SELECT source, w / (SELECT sum(w) FROM weighted) * (SELECT sum(n) FROM weighted)::DOUBLE / n AS rate FROM weighted),
+rates AS (SELECT source, ceil(rate / 256)::BIGINT AS parts, rate / ceil(rate / 256) AS rate FROM whole),
 drawn AS (
-  SELECT d.*, rate, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM documents d JOIN rates r ON d.source = r.source),
+  SELECT d.*, parts, j, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null') || CASE WHEN j > 0 THEN '|' || j ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, unnest(range(0, parts)) AS p(j)),
 steps AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
   FROM rates, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 31)::BIGINT)) AS t(k)),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(s.k) AS copies FROM drawn d LEFT JOIN steps s ON s.source = d.source AND s.cdf <= d.u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, i::INTEGER AS copy FROM counted, unnest(range(0, copies)) AS t(i)
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, parts, j, count(s.k) AS copies FROM drawn d LEFT JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.cdf <= d.u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, i * parts + j AS copy FROM counted, unnest(range(0, copies)) AS t(i)
 """
 
 QUERIES = {

@@ -1,5 +1,8 @@
+import time
+
 import pytest
 
+from cellfold.llm.queries import RECOUNT
 from cellfold.llm.rollup import TokenRollup, deletes, inserts, pattern_counts, revisions
 from cellfold.llm.shared import fresh_dir
 
@@ -29,13 +32,47 @@ def test_batches(spark):
 def test_failed_attempt_is_not_read(spark):
     rollup = TokenRollup(spark, fresh_dir(spark, "rollup"))
     rows = spark.createDataFrame([("a", "en", "v1", 10, 12)], COUNTS)
-    inserts(rows).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{rollup.folder}/batch-1")
-    assert totals(rollup) == {}
+    inserts(rows).write.parquet(f"{rollup.folder}/attempt-0")
+    assert totals(rollup) == {} and rollup.batches() == []
     assert rollup.commit("1", inserts(rows)) and totals(rollup) == {("a", "en", "v1"): (1, 10)}
 
 
+def test_two_writers_of_one_batch(spark, monkeypatch):
+    """The second sees no committed batch when it begins, and loses when it renames."""
+    rollup = TokenRollup(spark, fresh_dir(spark, "rollup"))
+    rows = spark.createDataFrame([("a", "en", "v1", 10, 12)], COUNTS)
+    assert rollup.commit("1", inserts(rows))
+    monkeypatch.setattr(TokenRollup, "batches", lambda self: [])
+    assert not rollup.commit("1", inserts(rows), inserts(rows))
+    monkeypatch.undo()
+    assert totals(rollup) == {("a", "en", "v1"): (1, 10)} and rollup._folders("attempt-") == []
+
+
+def test_compaction(spark):
+    rollup = TokenRollup(spark, fresh_dir(spark, "rollup"))
+    rows = spark.createDataFrame([("a", "en", "v1", 10, 12), (None, "de", "v1", 4, 1)], COUNTS)
+    assert not rollup.compact() and rollup.commit("empty") and rollup.commit("none", inserts(rows.limit(0))) and totals(rollup) == {}
+    for n in range(1, 7):
+        assert rollup.commit(str(n), inserts(rows)) and not rollup.commit(str(n), inserts(rows))
+        assert totals(rollup)["a", "en", "v1"] == (n, 10 * n)
+        if n % 2 == 0:
+            assert rollup.compact() and not rollup.compact()
+            assert not rollup.commit("1", inserts(rows)) and totals(rollup) == {("a", "en", "v1"): (n, 10 * n), (None, "de", "v1"): (n, 4 * n)}
+    assert rollup.batches() == ["1", "2", "3", "4", "5", "6", "empty", "none"] and rollup._folders("batch-") == ["5", "6"] and rollup._folders("totals-") == ["3"]
+    assert rollup.commit("7", deletes(rows)) and totals(rollup)["a", "en", "v1"] == (5, 50)
+
+
+def test_recount_of_long_words(spark):
+    """A word of many characters without a letter takes linear time."""
+    start, text = time.perf_counter(), "1" * 300_000 + " a1 1b 22 c " + "é" * 300_000
+    docs = spark.createDataFrame([(1, text, "a", "en")], "doc_id long, text string, source string, lang string")
+    assert pattern_counts(docs, {"letters": RECOUNT}).first().n_tokens == 3 and time.perf_counter() - start < 60
+
+
 def test_counts(odd_docs, empty_docs):
     rows = pattern_counts(odd_docs, {"words": r"\S+", "letters": "[a-z]"}).collect()
     by = {(r.doc_id, r.tokenizer): r.n_tokens for r in rows}
     assert len(rows) == 2 * odd_docs.count() and by[1, "words"] == 9 and by[3, "words"] == by[4, "letters"] == 0
     assert pattern_counts(empty_docs, {"words": r"\S+"}).count() == 0
+    with pytest.raises(ValueError, match="tokenizer"):
+        pattern_counts(odd_docs.withColumnRenamed("fp", "tokenizer"), {"words": r"\S+"}, keep=("doc_id", "tokenizer"))
