@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellfold.llm.components import connected_components, forest
-from cellfold.llm.shared import cut
+from cellfold.llm.shared import cut, split_join
 
 #: Width of a quantisation step, for unit vectors.
 STEP = 2.0
@@ -32,6 +32,8 @@ RECALL = 0.9995
 BLOCK, GROUP = 512, 32_768
 #: Group size up to which pairs are listed by offset rather than multiplied as a matrix.
 SMALL = 48
+#: Cosines this close to the threshold are summed again, in the order that small groups use.
+BAND = 1e-9
 
 
 def meet_probability(distance: float, step: float = STEP) -> float:
@@ -88,23 +90,23 @@ def _pairs(start: np.ndarray, size: np.ndarray, limit: int = 1 << 19):
             at = stop
 
 
-def _links(table: pa.Table, threshold: float) -> pa.Table:
+def _links(table: pa.Table, threshold: float, k: int, tables: int) -> pa.Table:
     """Sums of links (a, null, n) and forest edges (a, b, 0) of the groups of one task."""
     column = lambda name: table.column(name).combine_chunks()
     bucket, ci, cj, chunk, cid, weight, tab = (np.asarray(column(c)) for c in ("bucket", "ci", "cj", "chunk", "cid", "weight", "tab"))
     order = np.lexsort((cid, chunk, cj, ci, bucket))
     bucket, ci, cj, chunk, cid, weight, tab = (x[order] for x in (bucket, ci, cj, chunk, cid, weight, tab))
+    # Each vector came once for each of its groups; lengths are equal within a group.
     vectors = column("vector").take(pa.array(order))
-    sigs = np.frombuffer(b"".join(column("sig").take(pa.array(order)).to_pylist()), np.uint32).reshape(len(order), -1)
-    # Lengths may differ between groups; equal within one.
     ends = np.asarray(vectors.offsets)
-    lengths, flat = np.diff(ends), np.asarray(vectors.values, np.float64)
+    lengths, flat = np.diff(ends), np.asarray(vectors.values)
     ends = ends - ends[0]
     nodes, node = np.unique(cid, return_inverse=True)
     total, forest_a, forest_b, waiting = np.zeros(len(nodes), np.int64), [], [], [0]
 
     def take(a: np.ndarray, b: np.ndarray) -> None:
-        first = (np.cumsum(sigs[a] == sigs[b], axis=1)[np.arange(len(a)), tab[a]] == 1) if len(a) else np.zeros(0, bool)
+        # Whether this table is the first that the pair meets in.
+        first = ~((sigs[place[a]] == sigs[place[b]]) & (np.arange(tables) < tab[a][:, None])).any(1)
         a, b = a[first], b[first]
         np.add.at(total, node[a], weight[b])
         np.add.at(total, node[b], weight[a])
@@ -122,9 +124,11 @@ def _links(table: pa.Table, threshold: float) -> pa.Table:
     size = np.diff(np.r_[change, len(bucket)])
     for length in np.unique(lengths):
         pick = np.flatnonzero(lengths == length)
-        rows = unit(flat[ends[pick][:, None] + np.arange(length)])
+        distinct, back = np.unique(cid[pick], return_index=True, return_inverse=True)[1:]
+        rows = unit(flat[ends[pick[distinct]][:, None] + np.arange(length)].astype(np.float64))
+        sigs = np.concatenate([signatures(rows[i : i + 4096], k, tables) for i in range(0, len(rows), 4096)])
         place = np.full(len(lengths), -1)
-        place[pick] = np.arange(len(pick))
+        place[pick] = back
         mine = lengths[change] == length
         small = mine & (size <= SMALL) & (ci[change] == cj[change])
         for a, b in _pairs(change[small], size[small]):
@@ -137,9 +141,14 @@ def _links(table: pa.Table, threshold: float) -> pa.Table:
             for i in range(0, len(left), 1024):
                 for j in range(0, len(right), 1024):
                     x, y = left[i : i + 1024], right[j : j + 1024]
-                    p, q = np.nonzero(rows[place[x]] @ rows[place[y]].T >= threshold)
-                    a, b = x[p], y[q]
+                    cosine = rows[place[x]] @ rows[place[y]].T
+                    p, q = np.nonzero(cosine >= threshold - BAND)
+                    a, b, near = x[p], y[q], cosine[p, q] < threshold + BAND
                     keep = a < b if ci[at[0]] == cj[at[0]] else np.ones(len(a), bool)
+                    near = np.flatnonzero(keep & near)
+                    for s in range(0, len(near), 1 << 15):  # sums of one order decide a close call
+                        part = near[s : s + (1 << 15)]
+                        keep[part] = np.einsum("ij,ij->i", rows[place[a[part]]], rows[place[b[part]]]) >= threshold
                     for s in range(0, int(keep.sum()), 1 << 18):
                         take(a[keep][s : s + (1 << 18)], b[keep][s : s + (1 << 18)])
     if forest_a:
@@ -168,7 +177,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
       columns are ignored; an empty table gives an empty result.
     """
     label, vector = F.col(f"`{label_col}`").cast("string"), F.col(f"`{vector_col}`")
-    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), label.alias("label"), vector.cast("array<double>").alias("vector"))
+    # Single precision is kept on the way; tasks compute in double precision.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), label.alias("label"), vector.cast(kind).alias("vector"))
     rows = rows.withColumn("ok", valid(F.col("vector"), F.col("label")))
     keys = [F.xxhash64("label", "vector").alias("h1"), F.xxhash64("vector", F.lit(1), "label").alias("h2")]
     good = rows.where("ok").select("id", "label", "vector", *keys)
@@ -181,9 +192,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = named.join(links.withColumnRenamed("a", "cid"), "cid", "left")
     named = cut(named.select("h1", "h2", "first", F.coalesce("root", "cid").alias("root"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("h1", "h2", "n_links", "component_id")
-    out = rows.select("id", F.when(F.col("ok"), keys[0]).alias("h1"), F.when(F.col("ok"), keys[1]).alias("h2")).join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = split_join(named, least, "root").select("h1", "h2", "n_links", "component_id")
+    # Rows that can't have links meet nothing (h2 is null), and are spread by their ids.
+    out = rows.select("id", F.when(F.col("ok"), keys[0]).otherwise(F.xxhash64("id")).alias("h1"), F.when(F.col("ok"), keys[1]).alias("h2")).join(named, ["h1", "h2"], "left")
+    component = F.when(F.col("h2").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
@@ -193,28 +205,31 @@ def _matches(classes: DataFrame, threshold: float) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            vectors = batch.column(1)
-            ends, flat = np.asarray(vectors.offsets), np.asarray(vectors.values, np.float64)
-            out, lengths = np.zeros((batch.num_rows, tables), np.uint32), np.diff(ends)
-            for length in np.unique(lengths):
-                pick = np.flatnonzero(lengths == length)
-                out[pick] = signatures(unit(flat[(ends[pick] - ends[0])[:, None] + np.arange(length)]), k, tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in out], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * tables), pa.array(out.reshape(-1).astype(np.int64)))], names=["cid", "sig", "cells"])
-
-    signed = cut(classes.select("cid", "vector").mapInArrow(sign, "cid long, sig binary, cells array<long>"))
-    lab = classes.select("cid", "lab", F.size("vector").alias("dim"))
-    entries = signed.select("cid", F.posexplode("cells").alias("tab", "cell")).join(lab, "cid")
-    entries = entries.select("cid", "tab", F.xxhash64("tab", "lab", "dim", "cell").alias("bucket"))
+            for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+                vectors = part.column(2)
+                ends = np.asarray(vectors.offsets)
+                flat, lengths = np.asarray(vectors.values), np.diff(ends)
+                cells = np.zeros((len(lengths), tables), np.uint64)
+                for length in np.unique(lengths):
+                    pick = np.flatnonzero(lengths == length)
+                    rows = unit(flat[ends[pick][:, None] + np.arange(length)].astype(np.float64))
+                    cells[pick] = signatures(rows, k, tables) ^ np.uint64(length) << np.uint64(32)
+                mixed = (np.asarray(part.column(1)).view(np.uint64)[:, None] ^ cells) * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64)
+                mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed ^= mixed >> np.uint64(32)
+                cid = np.repeat(np.asarray(part.column(0)), tables)
+                tab = np.tile(np.arange(tables, dtype=np.int32), len(lengths))
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(tab), pa.array(mixed.reshape(-1).view(np.int64))], names=["cid", "tab", "bucket"])
+
+    entries = classes.select("cid", "lab", "vector").mapInArrow(sign, "cid long, tab int, bucket long")
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    # A second key makes both sides of the join shuffle, so that a hot bucket can be split.
-    twice = lambda df: df.withColumn("bucket2", F.hash("bucket"))
-    shared = cut(twice(entries).join(twice(sizes), ["bucket", "bucket2"]).select("cid", "tab", "bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")))
+    shared = cut(split_join(entries, sizes, "bucket").select("cid", "tab", "bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")))
     meetings = shared.agg(F.sum("chunks")).first()[0] or 0
     chunk = F.pmod(F.hash("cid"), F.col("chunks"))
     dealt = shared.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("cid", "tab", "bucket", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
     deals = max(1, -(-int(meetings) // GROUP))
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("bucket", "ci", "cj"), F.lit(deals)))
-    full = dealt.join(signed.select("cid", "sig"), "cid").join(classes.select("cid", "vector", "weight"), "cid")
-    match = lambda table: _links(table, threshold)
+    full = dealt.join(classes.select("cid", "vector", "weight"), "cid")
+    match = lambda table: _links(table, threshold, k, tables)
     return full.groupBy("deal").applyInArrow(match, "a long, b long, n long")
