@@ -24,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellfold.llm.shared import cut, fresh_dir, open_fs
+from cellfold.llm.shared import cut, fresh_dir, open_fs, split_join
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:cellfold:page:"
 #: A new archive begins after so many bytes.
 ARCHIVE_BYTES = 64 << 20
-CHUNK = 1 << 16
+#: Bytes decompressed at a time; the longest header of a record that is read.
+CHUNK, LONGEST_HEADER = 1 << 16, 1 << 20
 
 
 class WarcError(ValueError):
@@ -63,7 +64,7 @@ class Record:
 
 
 def header_value(value: str) -> str:
-    """``value`` without characters that end a header line; they are percent-encoded."""
+    """``value`` without characters that end a header line; they are percent-encoded, and read back so."""
     return re.sub(r"[\x00-\x1f\x7f  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value).strip()
 
 
@@ -116,6 +117,8 @@ def read_records(stream: BinaryIO) -> Iterator[Record]:
             if need is None:
                 head += data
                 if b"\r\n\r\n" not in head:
+                    if len(head) > LONGEST_HEADER:
+                        raise WarcError(f"record {number}: a header of more than {LONGEST_HEADER} bytes")
                     continue
                 head, _, data = head.partition(b"\r\n\r\n")
                 headers = _headers(head, number)
@@ -138,7 +141,7 @@ def _headers(head: bytes, number: int) -> dict[str, str]:
     if first.encode() != VERSION:
         raise WarcError(f"record {number}: begins with {first[:40]!r}")
     headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    if not headers.get("Content-Length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", headers.get("Content-Length", "")):
         raise WarcError(f"record {number}: no Content-Length")
     return headers
 
@@ -162,13 +165,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").alias("length"), F.unhex(F.sha1("payload")).alias("sha"))
-    # A second key makes both sides of the join shuffle, so that a hot payload's rows can be split.
-    rows = rows.withColumn("sha2", F.hash("sha"))
-    known = rows.where(F.col("length") >= least_revisit).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", F.hash("sha").alias("sha2"), "first")
-    joined = rows.join(known, ["sha", "sha2"], "left")
+    # Payloads are equal by SHA-256; known collisions of the format's SHA-1 stay apart.
+    rows = rows.select("*", F.octet_length("payload").alias("length"), F.unhex(F.sha2("payload", 256)).alias("same"))
+    known = rows.where(F.col("length") >= least_revisit).groupBy("same").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    joined = split_join(rows, known, "same", "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
-    ready = joined.select(F.col("id").cast("string").alias("id"), "url", F.when(~revisit, F.col("payload")).alias("payload"), "length", "sha", F.when(revisit, F.col("first")).cast("string").alias("first"))
+    ready = joined.select(F.col("id").cast("string").alias("id"), "url", F.when(~revisit, F.col("payload")).alias("payload"), "length", F.unhex(F.sha1("payload")).alias("sha"), F.when(revisit, F.col("first")).cast("string").alias("first"))
 
     def write(batches):
         task, fs, out, path, state = TaskContext.get(), None, None, "", [0, 0]

@@ -1,6 +1,7 @@
 import gzip
 import io
 import random
+import zlib
 
 import pytest
 
@@ -92,3 +93,18 @@ def test_query(spark):
 
 def test_record_defaults():
     assert Record("response").payload == b"" and Record("response").http_length is None
+
+
+@pytest.mark.parametrize("length", ["\u00b2", "-1", "", "9" * 30])
+def test_wrong_lengths(length):
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = packer.compress(f"WARC/1.1\r\nContent-Length: {length}\r\n\r\n\r\n\r\n".encode()) + packer.flush()
+    with pytest.raises(WarcError):
+        list(read_records(io.BytesIO(data)))
+
+
+def test_endless_header():
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = packer.compress(b"WARC/1.1\r\nX: " + b"y" * (3 << 20)) + packer.flush()
+    with pytest.raises(WarcError, match="header"):
+        list(read_records(io.BytesIO(data)))
