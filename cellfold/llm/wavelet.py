@@ -159,12 +159,18 @@ class Shard:
 
 
 # ------------------------------------------------------------------- tokenizer
+#: How a vocabulary must prepare texts to be applied to their parts.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
 class PartEncoder:
     """A tokenizers-library vocabulary applied to the white-space-separated parts of texts.
 
-    This suits vocabularies that drop white space and case: no token spans white space,
-    so equal parts have equal ids, and each distinct part of a slice of texts is encoded
-    once. Parts of letters go to the library many at a time; tokens that end a word tell
+    This suits vocabularies that drop white space and case (``NORMALIZER``, ``SPLIT``): no
+    token spans white space, so equal parts have equal ids, and each distinct part of a
+    slice of texts is encoded once. Any other vocabulary is applied to whole texts. Parts of letters go to the library many at a time; tokens that end a word tell
     them apart. Others are set apart by a control character that has a token of its own;
     those that hold it, or the mark of a special token, go one at a time.
     """
@@ -182,7 +188,10 @@ class PartEncoder:
             self.tokenizer.model = model
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        facts = json.loads(self.tokenizer.to_str())
+        suffix = facts["model"].get("end_of_word_suffix")
+        before = (facts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_parts = (facts["normalizer"] or {}).get("normalizers") == NORMALIZER and len(before) == 2 and before[0] == SPLIT and BYTES.items() <= before[1].items()
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closing[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
@@ -226,6 +235,8 @@ class PartEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text). Null texts have none."""
+        if not self.by_parts:
+            return self._single(pc.fill_null(texts.cast(pa.string()), "").to_pylist())
         words = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
         offsets = np.asarray(words.offsets).astype(np.int64)
         coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -276,7 +287,8 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     The table has (bucket, part, path, documents, ids, start): shards in order of
     (bucket, part), and the ids of all shards before each. Documents of equal ids are
     in order of their texts; null ids come first; null texts count as empty. Every
-    document ends with ``end_id``. An empty table writes nothing.
+    document ends with ``end_id``. An empty table writes nothing; other columns are ignored,
+    whatever their names. All documents of one id are in one range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -328,9 +340,12 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1,
 
     # Cut at once: the table then names files that exist, and nothing is written twice.
     shards = cut(dealt.mapInArrow(write, "bucket int, part int, path string, documents long, ids long"))
-    # One row per shard of about SHARD_IDS ids: few enough for a running sum in one task.
-    before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    # A running sum over the ranges, whose number is a parameter, and one within each range.
+    former = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges_before = shards.groupBy("bucket").agg(F.sum("ids").alias("n")).select("bucket", F.coalesce(F.sum("n").over(former), F.lit(0)).alias("before"))
+    within = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    started = shards.withColumn("own", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(ranges_before, "bucket")
+    return started.select(*shards.columns, (F.col("before") + F.col("own")).alias("start"))
 
 
 def read_token_shards(shards: DataFrame, arrays: bool = False) -> DataFrame:

@@ -107,3 +107,19 @@ def test_query(spark, encoder):
     rows = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op7_token_shards(spark, SF).collect())
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert [(i, s, n, c) for s, i, n, c in rows] == expected(encoder, docs)
+
+
+def test_other_vocabularies_are_applied_to_whole_texts(encoder):
+    """A vocabulary that keeps case and blanks isn't cut at blanks."""
+    path = vocabulary("byte_bpe_50k.json")
+    own, texts = wave.PartEncoder(path), ["Hello  World, again", None, "", " x\n\ny ", "Ünï 日本"]
+    assert encoder.by_parts and not own.by_parts
+    ids, sizes = own.encode(pa.array(texts))
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_starts_follow_ranges_and_parts(spark):
+    docs = spark.createDataFrame([(i, f"word{i} here", "x", 1) for i in range(300)], "doc_id long, text string, bucket string, start int")
+    rows = wave.token_shards(spark, docs, vocabulary("word_bpe_49k.json"), shard_ids=40, ranges=7).orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == list(range(300)) and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(300)]
