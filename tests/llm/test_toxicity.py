@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -128,3 +129,17 @@ def test_query(spark):
     rows = op5_toxicity(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_held_out_rows_of_the_tables(spark):
+    """Ranking of held-out labelled documents of a real table, and of the longest of them."""
+    folder = SF.replace("sf0.001", "sf0.1")
+    if not os.path.exists(f"{folder}/labels.parquet"):
+        pytest.skip("needs the larger tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null")
+    asked = docs.join(labels.where(tox.held_out("doc_id")).select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic")
+    rows = tox.score(asked, tox.fit(docs, labels), keep=["doc_id", "toxic"]).collect()
+    toxic, other = (np.array([r.score for r in rows if r.toxic == k]) for k in (1, 0))
+    auc = (toxic[:, None] > other[None, :]).mean() + 0.5 * (toxic[:, None] == other[None, :]).mean()
+    assert len(toxic) > 50 and auc > 0.93 and (other >= 0.3).mean() < 0.05 and (toxic >= 0.3).mean() > 0.6, (auc, (other >= 0.3).mean(), (toxic >= 0.3).mean())
+    print("AUC", auc, "recall", (toxic >= 0.3).mean(), "false", (other >= 0.3).mean())
