@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -95,7 +96,26 @@ def test_run_equals_its_stages(spark, stages):
     assert whole.columns == made.columns and Counter((r.doc_id, r.n_tokens) for r in whole.collect()) == Counter((r.doc_id, r.n_tokens) for r in made.collect())
 
 
-def test_stages_of_odd_and_empty_documents(spark, odd_docs, empty_docs):
-    for docs in (odd_docs.drop("fp"), empty_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, SF).count() <= 10 * odd_docs.count()
+def test_stages_of_odd_documents(spark, odd_docs):
+    """Nulls, empties, repeats, a long text and columns that clash with inner names, stage by stage."""
+    docs = odd_docs.withColumns({"__score": F.lit("s"), "__whole": F.lit("w"), "__of": F.lit("o"), "id": F.lit(1), "root": F.lit("r")})
+    whole = Counter(docs.collect())
+    tox, simhash, mixing, bpe = (stage for _, stage in corpus_pipeline.STAGES)
+    kept = tox(spark, docs, SF)
+    assert kept.columns == docs.columns and Counter(kept.collect()) <= whole
+    kept = simhash(spark, docs, SF)
+    assert kept.columns == docs.columns and Counter(kept.collect()) <= whole
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 7, 8, 9, None], key=str)
+    mixed = mixing(spark, docs, SF)
+    assert mixed.columns == docs.columns and set(mixed.collect()) <= set(whole)
+    coded = bpe(spark, docs, SF)
+    rows = coded.collect()
+    assert coded.columns == [*(c for c in docs.columns if c != "text"), "n_tokens", "ids", "exact"] and len(rows) == docs.count()
+    assert all(r.exact and r.n_tokens == len(r.ids) for r in rows) and {r.doc_id for r in rows if r.n_tokens == 0} == {3, 4}
+    with pytest.raises(ValueError, match="exact"):
+        bpe(spark, odd_docs.withColumnRenamed("fp", "exact"), SF)
+
+
+def test_stages_of_no_documents(spark, empty_docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty_docs, SF).count() == 0
