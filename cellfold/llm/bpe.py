@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellfold.llm.shared import bounded_batches
+
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of a piece matrix, characters of text per slice, pieces remembered.
 CELLS, SLICE, REMEMBERED = 1 << 20, 1 << 20, 200_000
@@ -242,6 +244,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     if clash := {ids_col, decoded_col} & set(keep):
         raise ValueError(f"output column {sorted(clash)[0]!r} already exists")
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         bpe = load(path, pattern)
         for batch in batches:

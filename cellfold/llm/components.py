@@ -42,8 +42,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _digest(edges: DataFrame) -> tuple:
-    mixed = F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 31) - 1))
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(mixed), F.lit(0))).first())
+    """The number of edges and two sums of independent hashes of 31 bits each."""
+    sums = [F.coalesce(F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.lit(0)) for h in (F.xxhash64("u", "v"), F.xxhash64("v", F.lit(1), "u"))]
+    return tuple(edges.agg(F.count("*"), *sums).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -54,6 +55,21 @@ def split_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") ->
     return twice(rows).join(twice(few), [key, second], how).drop(second)
 
 
+#: Bytes of a batch of rows on the way to Python and back.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES`` where the session has a higher bound (64 MB by default).
+
+    Whole texts go to Python, and a task holds a batch several times on both sides. This
+    sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch``; results don't change.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D+$", "", spark.conf.get(name, f"{BATCH_BYTES + 1}b"))) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def unused(columns: list[str], *wanted: str) -> dict[str, str]:
     """Names for inner columns that no column of an input has, whatever its case."""
     taken = {c.lower() for c in columns}

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellfold.llm.shared import bounded_batches
+
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 32, 24
 #: Rows of the two hashed tables, the width of inputs, and the states of one direction.
@@ -377,6 +379,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     keep = docs.columns if keep is None else keep
     if score_col in keep:
         raise ValueError(f"output column {score_col!r} already exists")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.scale, model.shift))
 
     def run(batches):

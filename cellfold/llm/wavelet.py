@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellfold.llm.multiset import RangeBuckets
-from cellfold.llm.shared import cut, fresh_dir, open_fs, partitions
+from cellfold.llm.shared import bounded_batches, cut, fresh_dir, open_fs, partitions
 
 MAGIC = b"CFWM1\n"
 #: Bits of a block; ids after which a shard is closed; rows in a range of ids.
@@ -291,6 +291,7 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     whatever their names. All documents of one id are in one range.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     bucket = RangeBuckets(rows, "id", ranges or 4 * partitions(spark)).column()
     dealt = rows.select(bucket.alias("bucket"), "id", "text").repartition(partitions(spark), "bucket")
