@@ -31,7 +31,7 @@ def download(selection: str, *, cache_dir=None, refresh: bool = False, offline:
         raise TypeError("refresh must be a boolean.")
     source, year = parse(selection)
     chosen, base = Selection.of(source, year), cache.root(cache_dir)
-    entry, without_net = cache.entry(base, source, year), cache.offline(offline)
+    entry, without_net = cache.Entry.of(base, source, year), cache.offline(offline)
     if cache.verified(entry.raster, selection) and not refresh:
         return entry.raster
     if without_net and (source.delivery != "cube" or refresh):
@@ -83,7 +83,7 @@ def _fetch(source: Source, chosen: Selection, entry: cache.Entry, headers: dict
 
 def _derive(source: Source, chosen: Selection, entry: cache.Entry, base: Path, refresh: bool, without_net: bool) -> Path:
     """A year of the demographic cube, from one shared source file."""
-    shared = cache.source_folder(base, source) / "source"
+    shared = cache.source_home(base, source) / "source"
     cube = shared / CUBE_FILE
     with cache.locked(shared / ".lock", f"the source of {source.source_id}"):
         partial = cube.with_name(f"{cube.name}.partial")
@@ -142,7 +142,7 @@ def register(selection: str, path, *, cache_dir=None) -> Path:
     original = Path(path).expanduser()
     if not original.is_file():
         raise ValueError(f"The file to register does not exist: {original}.")
-    entry = cache.entry(cache.root(cache_dir), source, year)
+    entry = cache.Entry.of(cache.root(cache_dir), source, year)
     with cache.locked(entry.lock, repr(selection)):
         check_file(original, source, year, marker=True)
         if original.stat().st_size > MAX_REGISTERED:

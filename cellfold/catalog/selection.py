@@ -32,3 +32,12 @@ def parse(selection: str) -> tuple[Source, int]:
         shown = f"{ys[0]}-{ys[-1]}" if ys == tuple(range(ys[0], ys[-1] + 1)) else ", ".join(map(str, ys))
         raise ValueError(f"{name!r} has no year {year}; it has {shown}.")
     return source, year
+
+
+def accepts(selection: str) -> bool:
+    """Whether ``parse`` finds a source that has the year."""
+    try:
+        parse(selection)
+    except ValueError:
+        return False
+    return True

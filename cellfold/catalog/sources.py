@@ -88,7 +88,7 @@ SOURCES = {
             landing_page="https://data.jrc.ec.europa.eu/dataset/2ff68a52-5b5b-4a22-8f40-c41da8332cfe",
             url="https://jeodpp.jrc.ec.europa.eu/ftp/jrc-opendata/GHSL/GHS_POP_GLOBE_R2023A/GHS_POP_E{year}_GLOBE_R2023A_54009_1000/V1-0/GHS_POP_E{year}_GLOBE_R2023A_54009_1000_V1_0.zip",
             doi="10.2905/2FF68A52-5B5B-4A22-8F40-C41DA8332CFE",
-            license="European Commission reuse notice: reuse is authorised provided the source is acknowledged.",
+            license="European Commission reuse notice: reuse is authorised provided the source is acknowledged; it does not apply to third-party intellectual property rights.",
             citation="Schiavina, M., Freire, S., and MacManus, K. (2023). GHS-POP R2023A - GHS population grid multitemporal (1975-2030). European Commission, Joint Research Centre (JRC). https://doi.org/10.2905/2FF68A52-5B5B-4A22-8F40-C41DA8332CFE",
             crs="ESRI:54009",
             width=36082,

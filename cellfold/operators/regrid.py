@@ -119,12 +119,14 @@ def _align_projected(raster: Raster, target: GridSpec) -> DataFrame:
 
     @F.pandas_udf(G.SCHEMA)
     def ring(row: pd.Series, col: pd.Series) -> pd.Series:
-        def one(r, c):
-            corners = [source.corner(c, r), source.corner(c + 1, r), source.corner(c + 1, r + 1), source.corner(c, r + 1)]
-            shape = G.from_coordinates([[corners]])
-            return G.to_rows(shape if crs == goal else G.reproject(shape, crs, goal, tolerance))
-
-        return pd.Series([one(r, c) for r, c in zip(row, col, strict=True)])
+        # The cells of a batch are projected together: one array of corners, refined where they bend.
+        steps = np.array([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])
+        x, y = source.corner(col.to_numpy()[:, None] + steps[:, 0], row.to_numpy()[:, None] + steps[:, 1])
+        corners = np.stack((x, y), axis=2)
+        if source.determinant < 0:
+            corners = corners[:, ::-1]  # shells run counter-clockwise
+        rings = list(corners) if crs == goal else G.reproject_rings(list(corners), crs, goal, tolerance)
+        return pd.Series([G.to_rows([[r]]) for r in rings])
 
     from cellfold.operators.coverage import plane_area
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellfold.plans.materialize import keep
+
 
 def normalize_columns(value: str | Sequence[str], parameter: str) -> tuple[str, ...]:
     """One or several column names as a tuple: not empty, no repeats."""
@@ -45,6 +47,10 @@ def missing_key(frame: DataFrame, keys: Sequence[str]) -> Column:
     return out
 
 
+#: Of a joined row: true if it met a row of counts.
+MATCH = "__matched"
+
+
 def key_report(frame: DataFrame, keys: Sequence[str], *values: Column) -> DataFrame:
     """One row: rows with a missing key, repeated keys, and sums over rows of ``values`` (0 or 1).
 
@@ -93,10 +99,16 @@ def assign_table(hazard: DataFrame, population: DataFrame, cell_columns: str | S
         raise ValueError("Population values must be finite.")
     if right["v1"]:
         raise ValueError("Population values must be non-negative.")
-    counts = population.select(*[_key(k).alias(f"__cell_{i}") for i, k in enumerate(keys)], (value if numeric else F.lit(None).cast("double")).alias("__population"))
-    on = [_key(k) == F.col(f"__cell_{i}") for i, k in enumerate(keys)]
-    unmatched = hazard.select(*[_key(k) for k in keys]).join(counts, on, "left_anti").count()
+    counts = population.select(*map(_key, keys), (value if numeric else F.lit(None).cast("double")).alias(population_column))
+    joined = keep(matched(hazard, counts, keys, population_column))
+    unmatched = joined.agg(F.count_if(F.col(MATCH).isNull())).first()[0]
     if unmatched:
         raise ValueError(f"{unmatched} hazard {'row' if unmatched == 1 else 'rows'} did not match a population cell exactly.")
-    joined = hazard.join(counts, on, "left")
-    return joined.select(*[_key(c) for c in hazard.columns], F.col("__population").alias(population_column))
+    return joined.drop(MATCH)
+
+
+def matched(hazard: DataFrame, counts: DataFrame, keys: Sequence[str], population_column: str) -> DataFrame:
+    """``hazard`` with the count of its keys in ``counts``; ``MATCH`` is null in rows without any."""
+    own = counts.select(*[_key(k).alias(f"__cell_{i}") for i, k in enumerate(keys)], _key(population_column).alias("__population"), F.lit(True).alias("__found"))
+    joined = hazard.join(own, [_key(k) == F.col(f"__cell_{i}") for i, k in enumerate(keys)], "left")
+    return joined.select(*[_key(c) for c in hazard.columns], F.col("__population").alias(population_column), F.col("__found").alias(MATCH))

@@ -50,7 +50,7 @@ def data_fraction(valid_cells: Column, area: Column, cell_area: float) -> tuple[
     return F.when(complete, 1.0).otherwise(F.least(share, F.lit(BELOW_ONE))), complete
 
 
-def _check_layer(layer: VectorLayer, population_column: str, antimeridian: str, partial: bool) -> None:
+def _check_layer(layer: VectorLayer, population_column: str, antimeridian: str, partial: bool, row_id: str | None) -> None:
     frame, reserved = layer.frame, reserved_columns(partial)
     if population_column in reserved:
         raise ValueError(f"population_column can't be {population_column!r}; assignment adds that column itself.")
@@ -63,12 +63,16 @@ def _check_layer(layer: VectorLayer, population_column: str, antimeridian: str,
     C.as_crs(layer.crs, "hazard")
     if layer.geometry not in frame.columns:
         raise ValueError(f"hazard vector has no geometry column {layer.geometry!r}.")
+    if row_id is not None and row_id not in frame.columns:
+        raise ValueError(f"hazard vector has no column {row_id!r} for row_id.")
     g = F.col(layer.geometry)
     empty = (F.size(F.flatten(g)) == 0) | F.exists(F.flatten(g), lambda r: F.size(r) == 0)
     broken = F.lit(0) if antimeridian == "split" else F.count_if(g.isNotNull() & ~empty & ~_valid(g))
     rows, missing, vacant, invalid = frame.agg(F.count("*"), F.count_if(g.isNull()), F.count_if(g.isNotNull() & empty), broken).first()
     if not rows:
         raise ValueError("hazard vector must have at least one polygon feature.")
+    if row_id is not None:
+        _check_ids(frame, row_id)
     if missing:
         raise ValueError("hazard vector has missing geometry.")
     if vacant:
@@ -77,6 +81,16 @@ def _check_layer(layer: VectorLayer, population_column: str, antimeridian: str,
         raise ValueError("hazard vector has invalid geometry.")
 
 
+def _check_ids(frame: DataFrame, row_id: str) -> None:
+    """Ids tell features apart: features of one id would be summed as one."""
+    counts = frame.groupBy(F.col(f"`{row_id}`").alias("id")).agg(F.count("*").alias("n"))
+    missing, repeated, first = counts.agg(F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)), F.count_if(F.col("id").isNotNull() & (F.col("n") > 1)), F.min(F.when(F.col("n") > 1, F.col("id")))).first()
+    if missing:
+        raise ValueError(f"row_id {row_id!r} is null in {missing} rows.")
+    if repeated:
+        raise ValueError(f"row_id {row_id!r} must be unique; {repeated} values repeat, such as {first!r}.")
+
+
 def _valid(geometry: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(values: pd.Series) -> pd.Series:
@@ -201,12 +215,12 @@ def assign_polygons(
     null, if that is allowed. ``row_id`` names a unique column for reports and errors;
     without one, rows are numbered in the order Spark reads them.
     """
-    _check_layer(layer, population_column, antimeridian, allow_partial_coverage)
+    _check_layer(layer, population_column, antimeridian, allow_partial_coverage, row_id)
     population.spec.validate("population")
     hazard = C.as_crs(layer.crs, "hazard")
     reprojecting = C.match(hazard, population.spec.crs, allow_reprojection)
     raster = population.masked()
-    numbered = keep(layer.frame.withColumn("__fid", F.col(row_id) if row_id else F.monotonically_increasing_id()))
+    numbered = keep(layer.frame.withColumn("__fid", F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()))
     # Errors name a row by its id, or else by its place in the order Spark reads rows in.
     name = str if row_id else (lambda fid: str(numbered.where(F.col("__fid") < fid).count()))
     features = numbered.select(F.col("__fid").alias("fid"), F.col(layer.geometry).cast(G.SCHEMA).alias("geometry"))

@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellfold.assign import assign_population
-from cellfold.catalog.selection import looks_like_selection
+from cellfold.catalog.selection import accepts
 from cellfold.catalog.sources import SOURCES, catalog_table
 from cellfold.operators.bands import band_totals, threshold_total
 from cellfold.operators.coverage import cell_shares, plane_area
 from cellfold.operators.cube import year_counts
 from cellfold.operators.overlap import overlap_pairs
 from cellfold.operators.parity import compare
-from cellfold.operators.tabular import key_report
+from cellfold.operators.tabular import MATCH, key_report, matched
 from cellfold.operators.zonal import center_sums, on_grid
 from cellfold.functions.crs import KNOWN
 from cellfold.sources.grid import GridSpec, Raster, cell_centers
@@ -123,7 +124,8 @@ def tabular_composite_key(spark, sf_dir):
 
 def tabular_unmatched_report(spark, sf_dir):
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count("*").alias("unmatched"))
+    people = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("population"))
+    return matched(customers, people, ["c_custkey"], "population").agg(F.count_if(F.col(MATCH).isNull()).alias("unmatched"))
 
 
 def key_quality_report(spark, sf_dir):
@@ -150,6 +152,13 @@ def raster_fractional_regrid(spark, sf_dir):
     return rounded(_aligned(spark, sf_dir, _target(0.64, 25)).cells)
 
 
+def raster_cross_crs(spark, sf_dir):
+    """Counts in degrees, spread over a hazard grid in metres: cells are projected, not resampled."""
+    people = counts(spark, sf_dir, crs="EPSG:4326", left=10.0, top=60.0, cell=(1.5, 2.0))
+    found = assign_population(ones(spark, _target(180_000.0, 30, 1_000_000.0, 8_500_000.0)), people, allow_reprojection=True, allow_partial_coverage=True)
+    return rounded(found.cells.where("population is not null").select("row", "col", "population"), 4)
+
+
 def raster_coarsen(spark, sf_dir):
     return rounded(_aligned(spark, sf_dir, _target(4, 4)).cells)
 
@@ -291,12 +300,15 @@ def catalog_list(spark, sf_dir):
 
 
 def catalog_selection_check(spark, sf_dir):
-    """Whether a source has a year, for selections made of every nation key."""
-    spark_sources = spark.createDataFrame([(s.source_id, list(s.years)) for s in SOURCES.values()], "source_id string, years array<int>")
-    rows = table(spark, sf_dir, "nation").select((F.lit(1996) + F.col("n_nationkey")).cast("int").alias("year")).crossJoin(F.broadcast(spark_sources))
-    name: Column = F.concat_ws(":", "source_id", F.col("year").cast("string"))
-    assert looks_like_selection("landscan-global:2024")
-    return rows.select(name.alias("selection"), F.array_contains("years", F.col("year")).alias("known"))
+    """Whether a selection is accepted, for those made of every source and nation key."""
+
+    @F.pandas_udf("boolean")
+    def known(selections: pd.Series) -> pd.Series:
+        return selections.map(accepts)
+
+    names = F.explode(F.array(*[F.lit(s) for s in SOURCES]))
+    rows = table(spark, sf_dir, "nation").select((F.lit(1996) + F.col("n_nationkey")).cast("string").alias("year"), names.alias("source_id"))
+    return rows.select(F.concat_ws(":", "source_id", "year").alias("selection")).withColumn("known", known("selection"))
 
 
 def stream_static_assignment(spark, sf_dir):
@@ -319,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tabular_exact_join, tabular_threshold_sum, tabular_group_sum, tabular_composite_key, tabular_unmatched_report, key_quality_report, cell_center_table,
-        raster_same_grid, raster_fractional_regrid, raster_coarsen, raster_masked_cells, raster_conservation, raster_data_support, raster_block_totals, raster_window_read, band_exposure,
+        raster_same_grid, raster_fractional_regrid, raster_cross_crs, raster_coarsen, raster_masked_cells, raster_conservation, raster_data_support, raster_block_totals, raster_window_read, band_exposure,
         zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, cell_coverage_shares,
         surface_coverage, antimeridian_split, overlap_report, reproject_mercator_box, reproject_mollweide_area, cube_year_total, fine_coarse_parity, catalog_list, catalog_selection_check, stream_static_assignment,
     )
@@ -369,6 +381,12 @@ ORACLES = {
     "cell_center_table": f"WITH {GRID} SELECT c + 0.5::DOUBLE AS longitude, 15.5::DOUBLE - r AS latitude, v AS population FROM grid WHERE v IS NOT NULL",
     "raster_same_grid": f"WITH {GRID} SELECT r AS row, c AS col, 1.0::DOUBLE AS hazard, round(v, 6) AS population FROM grid",
     "raster_fractional_regrid": _regrid_sql(25, "0.64::DOUBLE"),
+    "raster_cross_crs": f"""WITH {GRID}, p AS (
+  SELECT v, 6378137.0::DOUBLE * radians(10 + 1.5 * c) AS x0, 6378137.0::DOUBLE * radians(11.5 + 1.5 * c) AS x1,
+    6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(58 - 2 * r) / 2)) AS y0, 6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(60 - 2 * r) / 2)) AS y1 FROM grid WHERE v IS NOT NULL),
+t AS (SELECT a.i::INT AS row, b.i::INT AS col, 1e6::DOUBLE + b.i * 180000 AS l, 8.5e6::DOUBLE - a.i * 180000 AS u FROM range(30) a(i), range(30) b(i)),
+s AS (SELECT row, col, v, greatest(0, least(x1, l + 180000) - greatest(x0, l)) / (x1 - x0) * greatest(0, least(y1, u) - greatest(y0, u - 180000)) / (y1 - y0) AS share FROM t, p)
+SELECT row, col, round(sum(v * share), 4) AS population FROM s WHERE share > 0 GROUP BY row, col""",
     "raster_coarsen": f"WITH {GRID} SELECT (r // 4)::INT AS row, (c // 4)::INT AS col, 1.0::DOUBLE AS hazard, round(sum(v), 6) AS population FROM grid GROUP BY r // 4, c // 4",
     "raster_masked_cells": f"WITH {GRID}, t AS (SELECT a.i::INT AS r, b.i::INT AS c FROM range(20) a(i), range(20) b(i)) SELECT t.r AS row, t.c AS col, 1.0::DOUBLE AS hazard, round(v, 6) AS population FROM t LEFT JOIN grid ON t.r = grid.r AND t.c = grid.c",
     "raster_conservation": f"WITH {GRID} SELECT round(sum(v), 3) AS source, round(sum(v), 3) AS covered, round(sum(v), 3) AS aligned FROM grid",

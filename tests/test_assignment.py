@@ -324,3 +324,14 @@ def test_conservation(make):
     from cellfold.operators.regrid import conservation_tolerance
 
     assert (conservation_tolerance(None, False), conservation_tolerance(None, True), conservation_tolerance(0.5, True)) == (1e-6, 1e-3, 0.5)
+
+
+def test_row_ids_tell_rows_apart(spark, make):
+    people = make.grid(BASIC)
+    boxes = [G.box(0, 0, 1, 1), G.box(1, 1, 2, 2), G.box(0, 1, 1, 2)]
+    layer = lambda *ids: VectorLayer.of(spark, list(zip(ids, boxes[: len(ids)])), "n long", "EPSG:3857")
+    for row_id, ids, error in (("n", (1, 1), "must be unique; 1 values repeat, such as 1"), ("n", (1, None), "null in 1 rows"), ("n", (None, None, 1), "null in 2 rows"), ("m", (1, 2), "no column 'm'")):
+        with pytest.raises(ValueError, match=error):
+            assign_population(layer(*ids), people, row_id=row_id)
+    assert {r.n: r.population for r in assign_population(layer(7, 3, 5), people, row_id="n").frame.collect()} == {7: 3.0, 3: 2.0, 5: 1.0}
+    assert sorted(r.population for r in assign_population(layer(1, 1), people).frame.collect()) == [2.0, 3.0]  # without row_id rows are numbered

@@ -153,7 +153,7 @@ def test_resumed_download(net, tmp_path):
         ([Response(b"data", Content_Length=4)], {"max_bytes": 3}, False, "advertised"),
         ([Response(b"data")], {"max_bytes": 3}, False, "limit"),
         ([Response(b"data", Content_Length=4)], {"exact_bytes": 5}, False, "advertised"),
-        ([Response(b"data")], {"exact_bytes": 5}, True, "expected"),
+        ([Response(b"data")], {"exact_bytes": 5}, True, "4 of 5"),
         ([Response(b"data")], {"exact_bytes": 3}, False, "expected"),
         ([Response(b"data")], {"checksum": "md5:0"}, False, "checksum"),
         ([Response(b"data", Content_Length="many")], {}, False, "isn't a number"),
@@ -234,18 +234,67 @@ def test_archives(tmp_path):
     with pytest.raises(ValueError, match="limit"):
         fetch.extract_member(tmp_path / "a.zip", "x.tif", tmp_path / "x", limit=0)
     out = fetch.extract_prefix(archive(tmp_path / "c.zip", **{"keep__a__b.txt": "1", "other.txt": "2"}), "keep/", tmp_path / "out")
-    assert [p.relative_to(tmp_path).as_posix() for p in out] == ["out/a/b.txt"]
-    for bad in ("../x", "/x", "C:x", "a\\..\\..\\x"):
-        with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
-            z.writestr(bad, "1")
-        with pytest.raises(ValueError, match="unsafe"):
-            fetch.extract_prefix(tmp_path / "d.zip", "", tmp_path / "out2")
+    assert [p.relative_to(tmp_path).as_posix() for p in out] == ["out/keep/a/b.txt"]
+    with pytest.raises(ValueError, match="limit"):
+        fetch.extract_prefix(tmp_path / "c.zip", "keep", tmp_path / "out", limit=0)
+
+
+@pytest.mark.parametrize("name", ["layer/../outside.shp", "layer\\..\\..\\outside.shp", "layer/C:/outside.shp", "layer.d/../../x"])
+def test_unsafe_members_matter_only_if_asked_for(tmp_path, name):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr(name, "1")
+        z.writestr("good.txt", "2")
+    with pytest.raises(ValueError, match="unsafe path"):
+        fetch.extract_prefix(tmp_path / "a.zip", ("layer", "good"), tmp_path / "out")
+    assert [p.read_text() for p in fetch.extract_prefix(tmp_path / "a.zip", "good", tmp_path / "out")] == ["2"]
+
+
+def test_prefixes_end_where_names_do(tmp_path):
+    path = archive(tmp_path / "a.zip", **{"layer.shp": "1", "layer.dbf": "2", "layer_backup.shp": "3", "layer2__x": "4", "in__layer.shp": "5"})
+    out = fetch.extract_prefix(path, ("layer",), tmp_path / "out")
+    assert sorted(p.name for p in out) == ["layer.dbf", "layer.shp"] == sorted(p.name for p in (tmp_path / "out").iterdir())
+    with pytest.raises(ValueError, match="does not contain requested members"):
+        fetch.extract_prefix(path, ("lay", "layer_"), tmp_path / "out")
 
 
 def test_redirects_drop_credentials():
     import urllib.request
 
-    handler = fetch._Redirects()
     for target, kept in (("https://a.org/y", "t"), ("https://b.org/y", None)):
-        request = urllib.request.Request("https://a.org/x", headers={"Authorization": "t"})
-        assert handler.redirect_request(request, None, 302, "m", Message(), target).get_header("Authorization") == kept
+        request = urllib.request.Request("https://a.org/x", headers={"Authorization": "t", "Range": "bytes=3-"}, method="HEAD")
+        there = fetch.redirected(request, target)
+        assert there.get_header("Authorization") == kept and there.get_header("Range") == "bytes=3-" and there.get_method() == "HEAD"
+    with pytest.raises(urllib.error.URLError):
+        fetch.redirected(request, "file:///etc/hosts")
+
+
+def test_redirects_are_followed_step_by_step(tmp_path):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            to = {"/a": "/b", "/b": "c", "/loop": "/loop"}.get(self.path)
+            self.send_response(302 if to else 200)
+            self.send_header("Location" if to else "Content-Length", to or "4")
+            self.end_headers()
+            self.wfile.write(b"" if to else b"data")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert fetch.fetch(f"{at}/a", tmp_path / "p") == hashlib.sha256(b"data").hexdigest()
+        with pytest.raises(ValueError, match="Could not download"):
+            fetch.fetch(f"{at}/loop", tmp_path / "q")
+    finally:
+        server.shutdown()
+
+
+def test_receipts_name_numbers_that_json_lacks(tiny, tmp_path):
+    path = tiny(tmp_path / "a.tif")
+    cache.write_receipt(path, cache.Selection.of(SOURCES[NAME.split(":")[0]], 2020), cache.digest(path), {"nodata": float("nan"), "range": (float("-inf"), float("inf"))}, "note")
+    assert cache.verified(path)["observed"] == {"nodata": "NaN", "range": ["-Infinity", "Infinity"]}
