@@ -110,7 +110,9 @@ def mix_sources(
     def draw(rows: DataFrame) -> DataFrame:
         """Rows with their part's number of copies: the number of steps at or below the draw."""
         u = uniform(key, seed, F.col(name["part"]))
-        count = F.aggregate(F.transform(name["steps"], lambda s: (s <= u).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        # The draw is a part of the start value, so it is hashed once, not for each step.
+        start = F.struct(u.alias("u"), F.lit(0).cast("long").alias("n"))
+        count = F.aggregate(name["steps"], start, lambda acc, s: F.struct(acc["u"].alias("u"), (acc["n"] + (s <= acc["u"]).cast("long")).alias("n")), lambda acc: acc["n"])
         rows = rows.select(*columns, name["parts"], name["part"], count.alias(name["n"])).where(F.col(name["n"]) > 0)
         copy = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(name["n"]) - 1), lambda k: k * F.col(name["parts"]) + F.col(name["part"])))
         return rows.select(*columns, copy.alias(name["copy"]))
