@@ -117,19 +117,23 @@ def derive_year(cube: Path, to: Path, year: int) -> None:
     import pandas as pd
     from pyspark.sql import SparkSession
 
-    from cellfold.operators.cube import FIRST_YEAR, LATITUDES, LONGITUDES, year_counts
+    from cellfold.catalog.cube_file import VARIABLE, year_blocks
+    from cellfold.operators.cube import LATITUDES, LONGITUDES, year_counts
     from cellfold.sources.geotiff import write_geotiff
     from cellfold.sources.grid import GridSpec, Raster
 
     spark, frames = SparkSession.getActiveSession(), []
-    with h5py.File(cube, "r") as f:
-        for low in range(0, LATITUDES, 90):
-            ages = np.asarray(f["demographic_totals"][low : low + 90, :, :, year - FIRST_YEAR], float)
-            values = np.where(np.isnan(ages).all(axis=2), np.nan, np.nansum(ages, axis=2))
-            lat, lon = np.mgrid[low : low + len(values), 0:LONGITUDES]
-            frames.append(pd.DataFrame({"lat_idx": lat.ravel(), "lon_idx": lon.ravel(), "value": values.ravel()}))
+    try:
+        with h5py.File(cube, "r") as f:
+            for low, values in year_blocks(f, year):
+                lat, lon = np.mgrid[low : low + len(values), 0:LONGITUDES]
+                frames.append(pd.DataFrame({"lat_idx": lat.ravel(), "lon_idx": lon.ravel(), "value": values.ravel()}))
+    except FileNotFoundError:
+        raise
+    except OSError as error:
+        raise ValueError(f"The demographic cube can't be read as NetCDF-4: {cube}.") from error
     rows = spark.createDataFrame(pd.concat(frames))
-    spec = GridSpec.north_up(-180, 90, 0.25, 0.25, LONGITUDES, LATITUDES, "EPSG:4326", nodata=float("nan"), tags={"population_semantics": "count", "year": str(year)})
+    spec = GridSpec.north_up(-180, 90, 0.25, 0.25, LONGITUDES, LATITUDES, "EPSG:4326", nodata=float("nan"), tags={"population_semantics": "count", "units": "population count per cell", "year": str(year), "source_variable": VARIABLE, "processing": "sum of 14 age bands"})
     to.parent.mkdir(parents=True, exist_ok=True)
     write_geotiff(Raster(spec, year_counts(rows)), to)
 

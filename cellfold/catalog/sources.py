@@ -50,6 +50,28 @@ class Source:
         """A field's value for a year."""
         return self.by_year.get(year, {}).get(name, getattr(self, name))
 
+    @property
+    def resolution(self) -> str:
+        return DELIVERED[self.source_id][0]
+
+    @property
+    def format(self) -> str:
+        return DELIVERED[self.source_id][1]
+
+    @property
+    def download_size(self) -> str:
+        return DELIVERED[self.source_id][2]
+
+
+# Resolution, format and size of the download of each source, as told to users.
+DELIVERED = {
+    "worldpop-global-1km": ("30 arc-seconds (about 1 km at the equator)", "single-band GeoTIFF", "roughly 0.8-1.2 GB for one year"),
+    "ghsl-r2023a-mollweide-1km": ("1,000 metres on the World Mollweide equal-area grid", "ZIP archive containing a single-band GeoTIFF", "roughly 300 MB for one epoch (the 2020 archive is about 307 MB)"),
+    "gpwv4-r11-count": ("30 arc-seconds (about 1 km at the equator)", "Earthdata-authenticated ZIP archive containing a single-band GeoTIFF", "roughly 405 MB for one 30 arc-second year"),
+    "chambers-hybrid": ("0.25 degrees", "derived single-band GeoTIFF from one cached NetCDF-4 source", "4,122,344,510 bytes once for the shared source; each requested year is derived locally"),
+    "landscan-global": ("30 arc-seconds (about 1 km at the equator)", "manually acquired single-band GeoTIFF", "release-dependent manual download from the ORNL portal"),
+}
+
 
 # Fixed values follow: identifiers, years, addresses, grids and licences as published.
 SOURCES = {
@@ -202,11 +224,15 @@ class Selection:
     units: str
     population_meaning: str
     crs: str
+    resolution: str
+    format: str
+    download_size: str
+    expected_filename: str
     notes: tuple[str, ...]
 
     @classmethod
     def of(cls, s: Source, year: int) -> Selection:
-        return cls(f"{s.source_id}:{year}", s.source_id, s.release, year, s.title, s.publisher, s.acquisition, s.landing_page, s.url.format(year=year), s.value("doi", year), s.license, s.value("citation", year).format(year=year), s.units, s.meaning, s.crs, s.notes)
+        return cls(f"{s.source_id}:{year}", s.source_id, s.release, year, s.title, s.publisher, s.acquisition, s.landing_page, s.url.format(year=year), s.value("doi", year), s.license, s.value("citation", year).format(year=year), s.units, s.meaning, s.crs, s.resolution, s.format, s.download_size, s.filename.format(year=year), s.notes)
 
 
 def catalog_table(spark: SparkSession) -> DataFrame:

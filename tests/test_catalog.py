@@ -8,10 +8,12 @@ import zipfile
 from email.message import Message
 from http.client import IncompleteRead
 
+import numpy as np
 import pytest
 
 import cellfold.catalog as catalog
 from cellfold.catalog import api, cache, check, fetch, selection
+from cellfold.catalog.cube_file import AXES, year_blocks
 from cellfold.catalog.sources import SOURCES, catalog_table
 from cellfold.sources.geotiff import write_geotiff
 from cellfold.sources.grid import GridSpec, Raster
@@ -298,3 +300,62 @@ def test_receipts_name_numbers_that_json_lacks(tiny, tmp_path):
     path = tiny(tmp_path / "a.tif")
     cache.write_receipt(path, cache.Selection.of(SOURCES[NAME.split(":")[0]], 2020), cache.digest(path), {"nodata": float("nan"), "range": (float("-inf"), float("inf"))}, "note")
     assert cache.verified(path)["observed"] == {"nodata": "NaN", "range": ["-Infinity", "Infinity"]}
+
+
+class Lazy:
+    """What a file gives before it is read: a shape, a type and slices of one value."""
+
+    def __init__(self, shape, dtype="float32", value=1.0):
+        self.shape, self.dtype, self.value = shape, np.dtype(dtype), value
+
+    def __getitem__(self, at):
+        lows, _, _, year = at
+        out = np.full((lows.stop - lows.start, *self.shape[1:3]), self.value, self.dtype)
+        if lows.start == 0:
+            out[0, 0], out[0, 1, 1:] = np.nan, np.nan
+        return out + np.float32(year)
+
+
+def cube_file(**other):
+    shape = tuple(map(len, AXES.values()))
+    return {"demographic_totals": Lazy(shape), **AXES, **other}
+
+
+def test_cube_years_are_sums_of_ages():
+    blocks = list(year_blocks(cube_file(), 1952, rows=180))
+    assert [low for low, _ in blocks] == [0, 180, 360, 540]
+    first = blocks[0][1]
+    assert np.isnan(first[0, 0]) and first[0, 1] == 3 and first[0, 2] == 14 * 3
+    assert all((values == 42).all() for _, values in blocks[1:])
+
+
+@pytest.mark.parametrize(
+    "other, error",
+    [
+        ({"demographic_totals": None}, "no dataset 'demographic_totals'"),
+        ({"year": None}, "no dataset 'year'"),
+        ({"demographic_totals": {}}, "no dataset"),
+        ({"demographic_totals": Lazy((720, 1440, 14, 71), "float64")}, "must be float32"),
+        ({"demographic_totals": Lazy((720, 1440, 14, 70))}, "must be float32 of shape"),
+        ({"latitude": AXES["latitude"][::-1]}, "latitude isn't the published axis"),
+        ({"longitude": AXES["longitude"] - 180}, "longitude isn't"),
+        ({"age_band_lower_bound": AXES["age_band_lower_bound"][1:]}, "age_band_lower_bound isn't"),
+        ({"demographic_totals": Lazy((720, 1440, 14, 71), value=-100.0)}, "infinite or negative"),
+        ({"demographic_totals": Lazy((720, 1440, 14, 71), value=math.inf)}, "infinite or negative"),
+    ],
+)
+def test_other_cubes_are_refused(other, error):
+    with pytest.raises(ValueError, match=error):
+        next(year_blocks(cube_file(**other), 1950))
+
+
+def test_cube_without_the_year():
+    with pytest.raises(ValueError, match="no year 2021"):
+        next(year_blocks(cube_file(), 2021))
+
+
+def test_selections_tell_what_is_downloaded():
+    found = api.info("chambers-hybrid:1999")
+    assert found.resolution == "0.25 degrees" and "NetCDF-4" in found.format
+    assert found.expected_filename == "chambers-hybrid-1999.tif" and found.download_size.startswith("4,122,344,510 bytes")
+    assert all(s.resolution and s.format and s.download_size for s in api.list_sources())
