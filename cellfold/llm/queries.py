@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellfold.llm.bpe import bpe_encode
 from cellfold.llm.embed_dedup import embedding_groups
+from cellfold.llm.lexical import build_index, search
 from cellfold.llm.mixing import mix_sources
 from cellfold.llm.multiset import edited_fingerprints
 from cellfold.llm.rollup import TokenRollup, deletes, inserts, revisions
@@ -202,6 +203,27 @@ counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, parts, j, coun
 SELECT doc_id, text, lang, source, n_chars, i * parts + j AS copy FROM counted, unnest(range(0, copies)) AS t(i)
 """
 
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY ALL),
+whole AS (SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM lengths),
+norms AS (SELECT doc_id, 10 + (90 * n * (SELECT N FROM whole)) // (SELECT L FROM whole) AS m FROM lengths),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+weights AS (SELECT item_id, term, floor(1000 * ln((2 * (SELECT N FROM whole) + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM asked JOIN dfs USING (term)),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM weights JOIN tfs USING (term) JOIN norms USING (doc_id) GROUP BY ALL HAVING score > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores QUALIFY rank <= 10
+"""
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -213,6 +235,7 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_url_filter": op9_url_filter,
     "op10_source_mixing": op10_source_mixing,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLES = {
@@ -221,4 +244,5 @@ ORACLES = {
     "op6_embedding_near_dedup": OP6_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_source_mixing": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
 }
