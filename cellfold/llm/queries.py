@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellfold.llm.bpe import bpe_encode
 from cellfold.llm.embed_dedup import embedding_groups
+from cellfold.llm.html_text import extract_text
 from cellfold.llm.lexical import build_index, search
 from cellfold.llm.mixing import mix_sources
 from cellfold.llm.multiset import edited_fingerprints
@@ -224,6 +225,11 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 FROM scores QUALIFY rank <= 10
 """
 
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -236,6 +242,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_source_mixing": op10_source_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_html_extraction": op12_html_extraction,
 }
 
 ORACLES = {
