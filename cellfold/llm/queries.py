@@ -11,6 +11,7 @@ from cellfold.llm.html_text import extract_text
 from cellfold.llm.lexical import build_index, search
 from cellfold.llm.mixing import mix_sources
 from cellfold.llm.multiset import edited_fingerprints
+from cellfold.llm.prefix_trie import prefix_trie, rebuilt_conversations
 from cellfold.llm.rollup import TokenRollup, deletes, inserts, revisions
 from cellfold.llm.shared import cut, fresh_dir
 from cellfold.llm.simhash import simhash_groups
@@ -230,6 +231,11 @@ def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -243,6 +249,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
     "op11_lexical_search": op11_lexical_search,
     "op12_html_extraction": op12_html_extraction,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
