@@ -35,6 +35,14 @@ def plane_area(geometry: Column) -> Column:
 
 def cell_shares(features: DataFrame, spec: GridSpec, fid: str = "fid", geometry: str = "geometry") -> DataFrame:
     """(fid, row, col, share) of every cell of the grid that a feature covers in part or whole."""
+    return _filled(boundary_pieces(features, spec, fid, geometry), spec.width)
+
+
+def boundary_pieces(features: DataFrame, spec: GridSpec, fid: str = "fid", geometry: str = "geometry") -> DataFrame:
+    """(fid, row, col, cover, part): by cell, the summed heights of the edges' pieces in it and the areas left of them.
+
+    Columns left of the grid are all -1, those right of it all its width; neither has a part.
+    """
     rings = features.select(F.col(fid).alias("fid"), F.explode(F.col(geometry)).alias("part"))
     rings = rings.select("fid", F.posexplode("part").alias("ring_no", "ring"))
     # Shells are counted positive and holes negative, whatever their direction.
@@ -44,10 +52,10 @@ def cell_shares(features: DataFrame, spec: GridSpec, fid: str = "fid", geometry:
     bx, by = spec.to_cell(F.col("e.q.x"), F.col("e.q.y"))
     flip = 1.0 if spec.determinant > 0 else -1.0
     edges = edges.select("fid", (F.col("sign") * flip).alias("sign"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).where("ay <> by")
-    return _shares(edges, spec.width, spec.height)
+    return _pieces(edges, spec.width, spec.height)
 
 
-def _shares(edges: DataFrame, width: int, height: int) -> DataFrame:
+def _pieces(edges: DataFrame, width: int, height: int) -> DataFrame:
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     first, last = F.greatest(F.floor(low), F.lit(0)), F.least(F.ceil(high) - 1, F.lit(height - 1))
     rows = edges.withColumns({"r0": first.cast("int"), "r1": last.cast("int")}).where("r0 <= r1")
@@ -70,7 +78,10 @@ def _shares(edges: DataFrame, width: int, height: int) -> DataFrame:
     part = F.when(run == 0, F.col("dy")).otherwise(F.col("dy") * F.try_divide(upper - lower, F.abs(run)))
     cols = cols.select("fid", "sign", "row", "col", part.alias("cover"), ((lower + upper) / 2 - F.col("col")).alias("mean"))
     inside = F.col("col").between(0, width - 1)
-    summed = cols.groupBy("fid", "row", "col").agg(F.sum(F.col("sign") * F.col("cover")).alias("cover"), F.sum(F.when(inside, F.col("sign") * F.col("cover") * F.col("mean")).otherwise(0.0)).alias("part"))
+    return cols.groupBy("fid", "row", "col").agg(F.sum(F.col("sign") * F.col("cover")).alias("cover"), F.sum(F.when(inside, F.col("sign") * F.col("cover") * F.col("mean")).otherwise(0.0)).alias("part"))
+
+
+def _filled(summed: DataFrame, width: int) -> DataFrame:
     # A row's cells between its outer boundary pieces are filled in up to the next piece on the left.
     along = Window.partitionBy("fid", "row").orderBy("col")
     after = along.rowsBetween(1, Window.unboundedFollowing)

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from cellfold.errors import MissingPopulationDataError, PartialCoverageError
 from cellfold.functions import crs as C
 from cellfold.functions import geometry as G
+from cellfold.operators.block_zonal import zonal_by_blocks
 from cellfold.operators.coverage import cell_shares, centers_inside, plane_area
 from cellfold.operators.overlap import first_overlap
 from cellfold.plans.materialize import keep
+from cellfold.sources.block_grid import BlockGrid
 from cellfold.sources.grid import GridSpec, Raster, validate_population
 from cellfold.sources.layer import VectorLayer
 
@@ -197,7 +199,7 @@ def _worst(summary: DataFrame, test: Column, share: Column) -> tuple[int, list]:
 
 def assign_polygons(
     layer: VectorLayer,
-    population: Raster,
+    population: Raster | BlockGrid,
     population_column: str = "population",
     antimeridian: str = "error",
     allow_overlaps: bool = False,
@@ -213,13 +215,15 @@ def assign_polygons(
     reach?) and data support (has it values?) are separate facts: support is always
     reported, coverage if partial coverage is allowed. Features without any values get
     null, if that is allowed. ``row_id`` names a unique column for reports and errors;
-    without one, rows are numbered in the order Spark reads them.
+    without one, rows are numbered in the order Spark reads them. Of a grid stored by
+    block, which was checked when it was written, only blocks on the polygons' boundaries are read.
     """
     _check_layer(layer, population_column, antimeridian, allow_partial_coverage, row_id)
     population.spec.validate("population")
     hazard = C.as_crs(layer.crs, "hazard")
     reprojecting = C.match(hazard, population.spec.crs, allow_reprojection)
-    raster = population.masked()
+    stored = isinstance(population, BlockGrid)
+    raster = population if stored else population.masked()
     numbered = keep(layer.frame.withColumn("__fid", F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()))
     # Errors name a row by its id, or else by its place in the order Spark reads rows in.
     name = str if row_id else (lambda fid: str(numbered.where(F.col("__fid") < fid).count()))
@@ -231,9 +235,9 @@ def assign_polygons(
             raise ValueError("hazard vector has invalid geometry.")
     if not allow_overlaps and (pair := first_overlap(features)):
         raise ValueError(f"hazard vector has overlapping polygons at rows {name(pair[0])} and {name(pair[1])}; pass allow_overlaps=True for independent, non-additive totals.")
-    total = validate_population(raster)
+    total = population.total if stored else validate_population(raster)
     cell = raster.spec.cell_area
-    summary = keep(zonal_summary(features, raster))
+    summary = keep(zonal_by_blocks(features, population) if stored else zonal_summary(features, raster))
     coverage = coverage_fraction(F.col("area"), F.col("inside"), cell)
     note = _longitude_note(features, raster.spec)
     count, rows = _worst(summary, coverage <= 0, coverage)

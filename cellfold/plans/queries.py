@@ -8,6 +8,7 @@ of intervals on a cross join of small tables, and closed forms.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import pandas as pd
@@ -25,6 +26,8 @@ from cellfold.operators.parity import compare
 from cellfold.operators.tabular import MATCH, key_report, matched
 from cellfold.operators.zonal import center_sums, on_grid
 from cellfold.functions.crs import KNOWN
+from cellfold.plans.materialize import shared_folder
+from cellfold.sources.block_grid import BlockGrid, write_block_grid
 from cellfold.sources.grid import GridSpec, Raster, cell_centers
 from cellfold.sources.layer import VectorLayer, from_boxes, from_wkt
 
@@ -232,6 +235,43 @@ def zonal_cell_center(spark, sf_dir):
     return rounded(center_sums(triangles(spark, sf_dir), counts(spark, sf_dir, holes=False)).withColumnRenamed("fid", "key"))
 
 
+# ------------------------------------------------- grids that grow with the tables
+def wide_counts(spark: SparkSession, sf_dir: str) -> Raster:
+    """A grid whose side grows with the square root of ``lineitem``'s rows; every ninth cell has no data."""
+    lines = table(spark, sf_dir, "lineitem")
+    side = 16 * math.ceil(math.sqrt(lines.count()) / 64)
+    by = [(F.col("l_orderkey") % side).cast("int").alias("row"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % side).cast("int").alias("col")]
+    cells = lines.groupBy(*by).agg(F.sum("l_quantity").alias("value")).where((F.col("row") * 5 + F.col("col")) % 9 != 0)
+    return Raster(GridSpec.north_up(0, side, 1, 1, side, side, "EPSG:3857"), cells)
+
+
+def stored_counts(spark: SparkSession, sf_dir: str) -> BlockGrid:
+    return write_block_grid(wide_counts(spark, sf_dir), f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}", size=16, tiles=16)
+
+
+def wide_triangles(spark: SparkSession, sf_dir: str, side: int) -> VectorLayer:
+    """Right triangles from supplier keys, with legs of 0.15 and 0.1 of the grid's side."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("key"), ((k * 37 % 131) / 131.0 * 0.84 * side).alias("a"), ((k * 53 % 137) / 137.0 * 0.89 * side).alias("b"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(point(F.col("a"), F.col("b")), point(F.col("a") + 0.15 * side, F.col("b")), point(F.col("a"), F.col("b") + 0.1 * side), point(F.col("a"), F.col("b")))
+    return VectorLayer(rows.select("key", F.array(F.array(ring)).alias("geometry")), "EPSG:3857")
+
+
+def block_zonal_sum(spark, sf_dir):
+    """Triangles over a grid stored by block: lookups of running sums on the triangles' boundaries."""
+    grid = stored_counts(spark, sf_dir)
+    layer = wide_triangles(spark, sf_dir, grid.spec.width)
+    return rounded(assign_population(layer, grid, allow_overlaps=True, allow_missing_population_data=True).frame.drop("geometry"))
+
+
+def block_window_read(spark, sf_dir):
+    """A window of a grid stored by block: only its tiles are opened."""
+    grid = stored_counts(spark, sf_dir)
+    side = grid.spec.width
+    return rounded(grid.window((side // 4, side // 2), (side // 8, side // 2 + 3)))
+
+
 def cell_coverage_shares(spark, sf_dir):
     return rounded(cell_shares(triangles(spark, sf_dir), _target(1, 16)).withColumnRenamed("fid", "key"), 9)
 
@@ -313,7 +353,6 @@ def catalog_selection_check(spark, sf_dir):
 
 def stream_static_assignment(spark, sf_dir):
     """Events as a stream, assigned to counts by user; the rows written are read back."""
-    from cellfold.plans.materialize import shared_folder
     from cellfold.streaming.assign import append_to, assign_stream
 
     static = table(spark, sf_dir, "events")
@@ -332,7 +371,7 @@ QUERIES = {
     for f in (
         tabular_exact_join, tabular_threshold_sum, tabular_group_sum, tabular_composite_key, tabular_unmatched_report, key_quality_report, cell_center_table,
         raster_same_grid, raster_fractional_regrid, raster_cross_crs, raster_coarsen, raster_masked_cells, raster_conservation, raster_data_support, raster_block_totals, raster_window_read, band_exposure,
-        zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, cell_coverage_shares,
+        zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, block_zonal_sum, block_window_read, cell_coverage_shares,
         surface_coverage, antimeridian_split, overlap_report, reproject_mercator_box, reproject_mollweide_area, cube_year_total, fine_coarse_parity, catalog_list, catalog_selection_check, stream_static_assignment,
     )
 }
@@ -358,6 +397,12 @@ def _surface(x0: str, x1: str, y0: str, y1: str) -> str:
     return f"((radians({x1}) - radians({x0})) * ({_S.format(p=f'radians({y1})')} - {_S.format(p=f'radians({y0})')}))"
 
 
+#: The grid of ``wide_counts``, with its side g, and the triangles over it. Row r lies between y = g - 1 - r and g - r.
+WIDE = """side AS (SELECT (16 * ceil(sqrt(count(*)::DOUBLE) / 64))::BIGINT AS g FROM lineitem),
+wide AS (SELECT (l_orderkey % g)::INT AS r, ((l_partkey * 7 + l_linenumber) % g)::INT AS c, any_value(g) AS g, sum(l_quantity) AS v FROM lineitem, side GROUP BY 1, 2 HAVING (r * 5 + c) % 9 <> 0)"""
+WIDE_TRIANGLES = "tri AS (SELECT s_suppkey AS key, g, (s_suppkey * 37 % 131)::DOUBLE / 131.0::DOUBLE * 0.84::DOUBLE * g AS a, (s_suppkey * 53 % 137)::DOUBLE / 137.0::DOUBLE * 0.89::DOUBLE * g AS b, 0.15::DOUBLE * g AS p, 0.1::DOUBLE * g AS q FROM supplier, side)"
+_CORNER = "(p * q / 2 * greatest(0, 1 - greatest({u}, 0) / p - greatest({v}, 0) / q) ** 2)"
+_WIDE_SHARE = f"({_CORNER.format(u='c - a', v='g - 1 - r - b')} - {_CORNER.format(u='c + 1 - a', v='g - 1 - r - b')} - {_CORNER.format(u='c - a', v='g - r - b')} + {_CORNER.format(u='c + 1 - a', v='g - r - b')})"
 _TRI = "(2.5 * 1.75 / 2 * greatest(0, 1 - greatest({u}, 0) / 2.5 - greatest({v}, 0) / 1.75) ** 2)"
 _TRI_CELL = f"({_TRI.format(u='c - a', v='15 - r - b')} - {_TRI.format(u='c + 1 - a', v='15 - r - b')} - {_TRI.format(u='c - a', v='16 - r - b')} + {_TRI.format(u='c + 1 - a', v='16 - r - b')})"
 
@@ -401,6 +446,10 @@ SELECT row, col, round(sum(v * share), 4) AS population FROM s WHERE share > 0 G
     "zonal_triangle_sum": f"WITH {GRID}, {TRIANGLES} SELECT key, round(sum(v0 * {_TRI_CELL}), 6) AS population, 1.0::DOUBLE AS population_data_fraction, true AS population_data_complete FROM tri, grid GROUP BY key",
     "zonal_hole_multipart": f"WITH {GRID}, z AS (SELECT n_nationkey AS key, sum({_HOLED} * v) AS p, sum(CASE WHEN v IS NOT NULL THEN {_HOLED} END) AS valid FROM nation, grid WHERE {_HOLED} > 0 GROUP BY 1) SELECT key, round(p, 6) AS population, round(valid / {_HOLED_AREA}, 6) AS population_data_fraction, false AS population_data_complete FROM z",
     "zonal_cell_center": f"WITH {GRID}, {TRIANGLES} SELECT key, round(sum(v0), 6) AS total FROM tri, grid WHERE c + 0.5 > a AND 15.5 - r > b AND (c + 0.5 - a) / 2.5 + (15.5 - r - b) / 1.75 < 1 GROUP BY key",
+    "block_zonal_sum": f"""WITH {WIDE}, {WIDE_TRIANGLES}, near AS (SELECT key, tri.a, tri.b, p, q, tri.g, r, c, v FROM tri JOIN wide ON c BETWEEN floor(a) AND a + p AND tri.g - r BETWEEN b AND b + q + 1),
+s AS (SELECT key, any_value(p * q / 2) AS area, sum({_WIDE_SHARE} * v) AS total, sum({_WIDE_SHARE}) AS valid FROM near GROUP BY key)
+SELECT key, round(total, 6) AS population, CASE WHEN area - valid <= 1e-9 THEN 1.0::DOUBLE ELSE round(valid / area, 6) END AS population_data_fraction, area - valid <= 1e-9 AS population_data_complete FROM s""",
+    "block_window_read": f"WITH {WIDE} SELECT r AS row, c AS col, round(v, 6) AS value FROM wide WHERE r >= g // 4 AND r < g // 2 AND c >= g // 8 AND c < g // 2 + 3",
     "cell_coverage_shares": f"WITH {TRIANGLES}, g AS (SELECT a.i::INT AS r, b.i::INT AS c FROM range(16) a(i), range(16) b(i)) SELECT key, r AS row, c AS col, round({_TRI_CELL}, 9) AS share FROM tri, g WHERE {_TRI_CELL} > 1e-12",
     "surface_coverage": f"WITH {BOXES.format(dx='0')} SELECT key, CASE WHEN x1 <= 13 AND y0 >= 1 AND y1 <= 14 THEN 1.0::DOUBLE ELSE round({_surface('x0', 'least(x1, 13)', 'greatest(y0, 1)', 'least(y1, 14)')} / {_surface('x0', 'x1', 'y0', 'y1')}, 7) END AS population_coverage_fraction, x1 <= 13 AND y0 >= 1 AND y1 <= 14 AS population_coverage_complete FROM boxes",
     "antimeridian_split": f"WITH {GRID}, b AS (SELECT n_nationkey AS key, 170.0::DOUBLE + n_nationkey * 0.1 AS x0, 190.0::DOUBLE + n_nationkey * 0.1 AS x1, n_nationkey * 1.5::DOUBLE - 40 AS y0, n_nationkey * 1.5::DOUBLE - 33 AS y1 FROM nation), p AS (SELECT key, x0, 180.0::DOUBLE AS x1, y0, y1 FROM b UNION ALL SELECT key, -180.0, x1 - 360, y0, y1 FROM b) SELECT key, round(sum(v0 * greatest(0, least(x1, -180 + (c + 1) * 22.5) - greatest(x0, -180 + c * 22.5)) / 22.5 * greatest(0, least(y1, 80 - r * 10) - greatest(y0, 70 - r * 10)) / 10), 5) AS population, 1.0::DOUBLE AS population_data_fraction, true AS population_data_complete FROM p, grid GROUP BY key",
