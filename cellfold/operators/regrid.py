@@ -14,6 +14,7 @@ from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from cellfold.functions import crs as C
 from cellfold.functions import geometry as G
 from cellfold.operators.coverage import NEGLIGIBLE, cell_shares
 from cellfold.operators.zonal import BELOW_ONE, TOLERANCE, coverage_fraction, data_fraction, zonal_summary
-from cellfold.plans.materialize import keep
+from cellfold.plans.materialize import keep_sorted
 from cellfold.sources.grid import GridSpec, Raster, block_size, validate_population
 
 #: Relative differences allowed between the counts inside the footprint and on the grid.
@@ -35,7 +36,8 @@ BROADCAST_ROWS = 1 << 20
 class RasterAssignment:
     """A hazard grid with counts aligned to it, read lazily.
 
-    ``cells`` has every hazard cell: (row, col, hazard, population), null where masked.
+    ``hazard`` (row, col, hazard) and ``aligned`` (row, col, population) have the cells that aren't masked. The
+    aligned counts are stored in order of rows and columns.
     """
 
     shape: tuple[int, int]
@@ -44,12 +46,22 @@ class RasterAssignment:
     bounds: tuple[float, float, float, float]
     hazard_band: int
     attrs: Mapping[str, object]
-    cells: DataFrame = field(repr=False)
+    hazard: DataFrame = field(repr=False)
+    aligned: DataFrame = field(repr=False)
     block_shape: tuple[int, int] = (256, 256)
 
+    @property
+    def cells(self) -> DataFrame:
+        """Every hazard cell: (row, col, hazard, population), null where masked."""
+        return self.hazard.join(self.aligned, ["row", "col"], "full")
+
     def window(self, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
-        """Cells of rows and columns from the first up to before the last."""
-        return self.cells.where(F.col("row").between(rows[0], rows[1] - 1) & F.col("col").between(cols[0], cols[1] - 1))
+        """Cells of rows and columns from the first up to before the last.
+
+        Both sides are filtered before they meet, so that sources which know rows and columns read no others.
+        """
+        inside = F.col("row").between(rows[0], rows[1] - 1) & F.col("col").between(cols[0], cols[1] - 1)
+        return self.hazard.where(inside).join(self.aligned.where(inside), ["row", "col"], "full")
 
     def read(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> tuple[np.ma.MaskedArray, np.ma.MaskedArray]:
         """Hazard and population of a window as masked arrays on the driver; meant for small windows."""
@@ -72,9 +84,35 @@ class RasterAssignment:
                 yield (r, min(r + h, self.shape[0])), (c, min(c + w, self.shape[1]))
 
     def iter_blocks(self) -> Iterator[tuple]:
-        """(window, hazard, population) of each block, as masked arrays."""
-        for rows, cols in self.windows():
-            yield ((rows, cols), *self.read(rows, cols))
+        """(window, hazard, population) of each block, row by row, as masked arrays.
+
+        One pass: cells are shuffled once to ranges of blocks, tasks make the blocks' arrays, and the driver holds
+        those of the range it is at, while the next one is made.
+        """
+        (h, w), (height, width) = self.block_shape, self.shape
+        across = -(-width // w)
+
+        def arrays(key, table):
+            r0, c0 = key[0].as_py() // across * h, key[0].as_py() % across * w
+            shape = min(h, height - r0), min(w, width - c0)
+            made = {"block": pa.array([key[0].as_py()], pa.int64())}
+            at = np.asarray(table.column("row").combine_chunks()) - r0, np.asarray(table.column("col").combine_chunks()) - c0
+            for name in ("hazard", "population"):
+                grid = np.full(shape, np.nan)
+                grid[at] = table.column(name).combine_chunks().fill_null(float("nan")).to_numpy(zero_copy_only=False)
+                made[name] = pa.array([grid.tobytes()], pa.binary())
+            return pa.table(made)
+
+        number = F.floor(F.col("row") / h) * across + F.floor(F.col("col") / w)
+        made = self.cells.withColumn("block", number.cast("long")).groupBy("block").applyInArrow(arrays, "block long, hazard binary, population binary")
+        rows = made.orderBy("block").toLocalIterator(prefetchPartitions=True)
+        row = next(rows, None)
+        for k, (rows_of, cols_of) in enumerate(self.windows()):
+            shape, here = (rows_of[1] - rows_of[0], cols_of[1] - cols_of[0]), row is not None and row.block == k
+            grids = [np.frombuffer(row[name]).reshape(shape).copy() if here else np.full(shape, np.nan) for name in ("hazard", "population")]
+            yield ((rows_of, cols_of), *(np.ma.MaskedArray(np.nan_to_num(g), np.isnan(g)) for g in grids))
+            if here:
+                row = next(rows, None)
 
     def block_totals(self) -> DataFrame:
         """(block_row, block_col, cells, population): the blocks as one distributed aggregate."""
@@ -183,7 +221,7 @@ def assign_raster(
         raise PartialCoverageError(f"The hazard raster reaches outside the population grid: {covered:.1%} of it lies inside. {where} Pass allow_partial_coverage=True to leave outside cells null.")
     if found["data"] <= 0 and not allow_missing_population_data:
         raise MissingPopulationDataError("The population grid has no values anywhere under the hazard grid. No data is not zero people; pass allow_missing_population_data=True to go on.")
-    aligned = keep(align(raster, hazard.spec))
+    aligned = keep_sorted(align(raster, hazard.spec), "row", "col")
     aligned_total = float(aligned.agg(F.coalesce(F.sum("population"), F.lit(0.0))).first()[0])
     tolerance = conservation_tolerance(conservation, reprojecting)
     scale = max(1.0, abs(found["total"]))
@@ -191,7 +229,6 @@ def assign_raster(
     if difference > tolerance * scale:
         raise ValueError(f"Population was not conserved on the hazard grid: expected {found['total']:.12g}, got {aligned_total:.12g}; the difference of {difference:.12g} exceeds {tolerance * scale:.12g}.")
     masked = Raster(hazard.spec, hazard_cells).masked().cells.select("row", "col", F.col("value").alias("hazard"))
-    cells = masked.join(aligned, ["row", "col"], "full")
     attrs = {
         "population_assignment": "raster_sum_resampling",
         "population_name": population_column,
@@ -212,6 +249,6 @@ def assign_raster(
         "missing_population_data_allowed": allow_missing_population_data,
         "population_source": {**(source or {"source_id": "custom"}), "total": total},
     }
-    return RasterAssignment(hazard.spec.shape, goal, hazard.spec.transform, hazard.spec.bounds, band, MappingProxyType(attrs), cells, block_size(hazard.spec))
+    return RasterAssignment(hazard.spec.shape, goal, hazard.spec.transform, hazard.spec.bounds, band, MappingProxyType(attrs), masked, aligned, block_size(hazard.spec))
 
 

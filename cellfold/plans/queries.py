@@ -30,6 +30,7 @@ from cellfold.plans.materialize import shared_folder
 from cellfold.sources.block_grid import BlockGrid, write_block_grid
 from cellfold.sources.grid import GridSpec, Raster, cell_centers
 from cellfold.sources.layer import VectorLayer, from_boxes, from_wkt
+from cellfold.sources.tiles import read_tiles, write_tiles
 
 SIDE = 16
 
@@ -272,6 +273,26 @@ def block_window_read(spark, sf_dir):
     return rounded(grid.window((side // 4, side // 2), (side // 8, side // 2 + 3)))
 
 
+def tile_window_read(spark, sf_dir):
+    """A window of a folder of GeoTIFF tiles, by filters that reach the tiles."""
+    raster = wide_counts(spark, sf_dir)
+    folder, side = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}", raster.spec.width
+    write_tiles(raster, folder, size=16)
+    cells = read_tiles(spark, folder).masked().cells
+    return rounded(cells.where(F.col("row").between(side // 4, side // 2 - 1) & F.col("col").between(side // 8, side // 2 + 2)))
+
+
+def tile_regrid_window(spark, sf_dir):
+    """A window of counts aligned to a hazard grid of half the cell size; hazard and counts are tiles."""
+    raster = wide_counts(spark, sf_dir)
+    folder, side = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}", raster.spec.width
+    write_tiles(raster, folder, size=16)
+    hazard = Raster(GridSpec.north_up(0, side, 0.5, 0.5, 2 * side, 2 * side, "EPSG:3857"), ones(spark, GridSpec.north_up(0, side, 0.5, 0.5, 2 * side, 2 * side, "EPSG:3857")).cells)
+    write_tiles(hazard, f"{folder}/hazard", size=32)
+    found = assign_population(read_tiles(spark, f"{folder}/hazard"), read_tiles(spark, folder))
+    return rounded(found.window((side // 2, side), (7, side // 2)))
+
+
 def cell_coverage_shares(spark, sf_dir):
     return rounded(cell_shares(triangles(spark, sf_dir), _target(1, 16)).withColumnRenamed("fid", "key"), 9)
 
@@ -371,7 +392,7 @@ QUERIES = {
     for f in (
         tabular_exact_join, tabular_threshold_sum, tabular_group_sum, tabular_composite_key, tabular_unmatched_report, key_quality_report, cell_center_table,
         raster_same_grid, raster_fractional_regrid, raster_cross_crs, raster_coarsen, raster_masked_cells, raster_conservation, raster_data_support, raster_block_totals, raster_window_read, band_exposure,
-        zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, block_zonal_sum, block_window_read, cell_coverage_shares,
+        zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, block_zonal_sum, block_window_read, tile_window_read, tile_regrid_window, cell_coverage_shares,
         surface_coverage, antimeridian_split, overlap_report, reproject_mercator_box, reproject_mollweide_area, cube_year_total, fine_coarse_parity, catalog_list, catalog_selection_check, stream_static_assignment,
     )
 }
@@ -450,6 +471,9 @@ SELECT row, col, round(sum(v * share), 4) AS population FROM s WHERE share > 0 G
 s AS (SELECT key, any_value(p * q / 2) AS area, sum({_WIDE_SHARE} * v) AS total, sum({_WIDE_SHARE}) AS valid FROM near GROUP BY key)
 SELECT key, round(total, 6) AS population, CASE WHEN area - valid <= 1e-9 THEN 1.0::DOUBLE ELSE round(valid / area, 6) END AS population_data_fraction, area - valid <= 1e-9 AS population_data_complete FROM s""",
     "block_window_read": f"WITH {WIDE} SELECT r AS row, c AS col, round(v, 6) AS value FROM wide WHERE r >= g // 4 AND r < g // 2 AND c >= g // 8 AND c < g // 2 + 3",
+    "tile_window_read": f"WITH {WIDE} SELECT r AS row, c AS col, round(v, 6) AS value FROM wide WHERE r >= g // 4 AND r < g // 2 AND c >= g // 8 AND c < g // 2 + 3",
+    "tile_regrid_window": f"""WITH {WIDE}, t AS (SELECT a.i::INT AS row, b.i::INT AS col FROM side, range(g // 2, g) a(i), range(7, g // 2) b(i))
+SELECT row, col, 1.0::DOUBLE AS hazard, round(v / 4, 6) AS population FROM t LEFT JOIN wide ON r = row // 2 AND c = col // 2""",
     "cell_coverage_shares": f"WITH {TRIANGLES}, g AS (SELECT a.i::INT AS r, b.i::INT AS c FROM range(16) a(i), range(16) b(i)) SELECT key, r AS row, c AS col, round({_TRI_CELL}, 9) AS share FROM tri, g WHERE {_TRI_CELL} > 1e-12",
     "surface_coverage": f"WITH {BOXES.format(dx='0')} SELECT key, CASE WHEN x1 <= 13 AND y0 >= 1 AND y1 <= 14 THEN 1.0::DOUBLE ELSE round({_surface('x0', 'least(x1, 13)', 'greatest(y0, 1)', 'least(y1, 14)')} / {_surface('x0', 'x1', 'y0', 'y1')}, 7) END AS population_coverage_fraction, x1 <= 13 AND y0 >= 1 AND y1 <= 14 AS population_coverage_complete FROM boxes",
     "antimeridian_split": f"WITH {GRID}, b AS (SELECT n_nationkey AS key, 170.0::DOUBLE + n_nationkey * 0.1 AS x0, 190.0::DOUBLE + n_nationkey * 0.1 AS x1, n_nationkey * 1.5::DOUBLE - 40 AS y0, n_nationkey * 1.5::DOUBLE - 33 AS y1 FROM nation), p AS (SELECT key, x0, 180.0::DOUBLE AS x1, y0, y1 FROM b UNION ALL SELECT key, -180.0, x1 - 360, y0, y1 FROM b) SELECT key, round(sum(v0 * greatest(0, least(x1, -180 + (c + 1) * 22.5) - greatest(x0, -180 + c * 22.5)) / 22.5 * greatest(0, least(y1, 80 - r * 10) - greatest(y0, 70 - r * 10)) / 10), 5) AS population, 1.0::DOUBLE AS population_data_fraction, true AS population_data_complete FROM p, grid GROUP BY key",

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellfold.functions.crs import as_crs
+from cellfold.sources.files import file_system
 from cellfold.sources.grid import GridSpec, Raster
 
 #: Field types of TIFF as struct codes.
@@ -59,7 +60,8 @@ class Layout:
 def read_directory(path: str) -> tuple[Layout, GridSpec]:
     """Layout and grid of the first image of a file."""
     try:
-        with open(path, "rb") as f:
+        system, name = file_system(path)
+        with system.open_input_file(name) as f:
             head = f.read(16)
             order = {b"II": "<", b"MM": ">"}.get(head[:2])
             version = struct.unpack(order + "H", head[2:4])[0] if order else 0
@@ -169,7 +171,8 @@ def read_geotiff(spark: SparkSession, path: str | os.PathLike) -> Raster:
     blocks = spark.range(0, planes * layout.across * layout.down, numPartitions=min(max(1, len(layout.offsets) // 16), 4096))
 
     def decode(batches):
-        with open(layout.path, "rb") as f:
+        system, name = file_system(layout.path)
+        with system.open_input_file(name) as f:
             for batch in batches:
                 for block in batch.column(0).to_pylist():
                     plane, at = divmod(block, layout.across * layout.down)
@@ -201,11 +204,11 @@ def write_geotiff(raster: Raster, path: str | os.PathLike, tags: dict | None = N
         tile = np.full((TILE, TILE), np.nan)
         row, col = (np.asarray(table.column(c).combine_chunks()) % TILE for c in ("row", "col"))
         tile[row, col] = table.column("value").combine_chunks().fill_null(float("nan")).to_numpy(zero_copy_only=False)
-        return pa.table({"tile": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([_pack_tile(tile)], pa.binary())})
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([pack_tile(tile)], pa.binary())})
 
     number = F.floor(F.col("row") / TILE) * across + F.floor(F.col("col") / TILE)
     tiles: DataFrame = raster.cells.withColumn("tile", number.cast("long")).groupBy("tile").applyInArrow(encode, "tile long, data binary")
-    empty = _pack_tile(np.full((TILE, TILE), np.nan))
+    empty = pack_tile(np.full((TILE, TILE), np.nan))
     partial = f"{os.fspath(path)}.partial"
     with open(partial, "wb") as out:
         out.write(b"II" + struct.pack("<HHHQ", 43, 8, 0, 0))
@@ -216,16 +219,19 @@ def write_geotiff(raster: Raster, path: str | os.PathLike, tags: dict | None = N
                 sizes.append(len(block))
                 out.write(block)
             expected = tile + 1
-        _write_directory(out, spec, {**spec.tags, **(tags or {})}, offsets, sizes)
+        write_directory(out, spec, {**spec.tags, **(tags or {})}, offsets, sizes)
     os.replace(partial, path)
 
 
-def _pack_tile(tile: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(tile, ">f8").view(np.uint8).reshape(TILE, TILE, 8).transpose(0, 2, 1).reshape(TILE, -1)
+def pack_tile(tile: np.ndarray) -> bytes:
+    """A square tile of doubles: byte planes as running differences, deflated."""
+    side = len(tile)
+    planes = np.ascontiguousarray(tile, ">f8").view(np.uint8).reshape(side, side, 8).transpose(0, 2, 1).reshape(side, -1)
     return zlib.compress(np.diff(planes, axis=1, prepend=np.uint8(0)).astype(np.uint8).tobytes(), 6)
 
 
-def _write_directory(out, spec: GridSpec, tags: dict, offsets: list[int], sizes: list[int]) -> None:
+def write_directory(out, spec: GridSpec, tags: dict, offsets: list[int], sizes: list[int], tile: int = TILE) -> None:
+    """Write the directory of a file of square tiles at its end, and where it is at its start."""
     a, b, c, d, e, f = spec.transform
     matrix = (a, b, 0, c, d, e, 0, f, 0, 0, 0, 0, 0, 0, 0, 1)
     crs = as_crs(spec.crs)
@@ -237,7 +243,7 @@ def _write_directory(out, spec: GridSpec, tags: dict, offsets: list[int], sizes:
     text = lambda s: (2, s.encode() + b"\0")
     entries = {
         256: (4, [spec.width]), 257: (4, [spec.height]), 258: (3, [64]), 259: (3, [8]), 262: (3, [1]), 277: (3, [1]), 284: (3, [1]), 317: (3, [3]),
-        322: (4, [TILE]), 323: (4, [TILE]), 324: (16, offsets), 325: (16, sizes), 339: (3, [3]), 34264: (12, matrix), 34735: (3, keys), 42113: text("nan"),
+        322: (4, [tile]), 323: (4, [tile]), 324: (16, offsets), 325: (16, sizes), 339: (3, [3]), 34264: (12, matrix), 34735: (3, keys), 42113: text("nan"),
     }
     if items:
         entries[42112] = text(f"<GDALMetadata>{items}</GDALMetadata>")

@@ -73,11 +73,11 @@ NAN, INF = float("nan"), math.inf
         ([(1.0, "x")], [(1.0, -5.0)], {}, "non-negative"),
         ([(1.0, "x"), (1.0 + 1e-12, "y")], [(1.0, 5.0)], {}, "1 hazard row did not"),
         ([(3.0, "x"), (2.0, "y")], [(1.0, 5.0)], {}, "2 hazard rows did not"),
-        ([(1.0, "x")], [(1.0, 5.0)], {"allow_reprojection": True}, "only to vector and raster"),
-        ([(1.0, "x")], [(1.0, 5.0)], {"allow_partial_coverage": True}, "only to vector and raster"),
-        ([(1.0, "x")], [(1.0, 5.0)], {"allow_overlaps": True}, "only to vector"),
-        ([(1.0, "x")], [(1.0, 5.0)], {"antimeridian": "split"}, "only to vector"),
-        ([(1.0, "x")], [(1.0, 5.0)], {"hazard_band": 1}, "only to raster"),
+        ([(1.0, "x")], [(1.0, 5.0)], {"allow_reprojection": True}, "for vector and raster hazards"),
+        ([(1.0, "x")], [(1.0, 5.0)], {"allow_partial_coverage": True}, "for vector and raster hazards"),
+        ([(1.0, "x")], [(1.0, 5.0)], {"allow_overlaps": True}, "for vector hazards"),
+        ([(1.0, "x")], [(1.0, 5.0)], {"antimeridian": "split"}, "for vector hazards"),
+        ([(1.0, "x")], [(1.0, 5.0)], {"hazard_band": 1}, "for raster hazards"),
     ],
 )
 def test_table_errors(spark, hazard, people, options, error):
@@ -111,7 +111,7 @@ def test_kinds_must_fit(spark, make):
         assign_population(people, make.grid(BASIC))
     with pytest.raises(TypeError):
         assign_population(5, people)
-    with pytest.raises(ValueError, match="not a file"):
+    with pytest.raises(ValueError, match="no hazard file"):
         assign_population("/nowhere.tif", make.grid(BASIC))
 
 
