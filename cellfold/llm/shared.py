@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -66,10 +65,15 @@ def bounded_batches(spark: SparkSession) -> None:
     sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch``; results don't change.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(re.sub(r"\D+$", "", spark.conf.get(name, f"{BATCH_BYTES + 1}b"))) <= BATCH_BYTES:
+    if size_of(spark, spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def size_of(spark: SparkSession, text: str) -> int:
+    """Bytes of a size as Spark reads it: 64m, 1g, 8388608b or a plain number."""
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
+
 def unused(columns: list[str], *wanted: str) -> dict[str, str]:
     """Names for inner columns that no column of an input has, whatever its case."""
     taken = {c.lower() for c in columns}

@@ -12,15 +12,17 @@ multiple instances: in a training step a document stands for its highest window.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
+from multiprocessing import get_context
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.shared import bounded_batches
+from cellfold.llm.shared import bounded_batches, unused
 
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -360,13 +362,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     their ids meet the documents, so no other text moves. Of repeated ids the largest
     label and the smallest text count; without labelled documents, or with one label
     only, the score is a constant. Null texts aren't trained on; other columns are ignored.
+    The sample goes to one task, which trains in a process of its own: neither the driver nor the
+    task's worker keeps what training takes. A task that is run again trains the same network.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    short = docs.where(F.length(text_col) <= sample_chars).select(F.col(id_col), F.col(text_col).alias("__t"))
-    drawn = known.join(short.select(id_col).distinct(), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = short.join(F.broadcast(drawn), id_col).groupBy(id_col).agg(F.max("__y").alias("y"), F.min("__t").alias("t")).orderBy(id_col).toPandas()
-    return train(rows["t"].tolist(), rows["y"].to_numpy(), **options)
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    short = docs.where(F.length(text_col) <= sample_chars).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    drawn = known.join(short.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = short.join(F.broadcast(drawn), "id").groupBy("id").agg(F.max("y").cast("int").alias("y"), F.min("t").alias("t"))
+
+    def learn(batches):
+        texts, found = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            found += batch.column(1).to_pylist()
+        with get_context("fork").Pool(1) as pool:
+            model = pool.apply(train, (texts, np.array(found)), options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.weights, model.scale, model.shift))], pa.binary())], names=["model"])
+
+    bounded_batches(docs.sparkSession)
+    made = rows.repartition(1).sortWithinPartitions("id").select("t", "y").mapInArrow(learn, "model binary").collect()
+    return Model(*pickle.loads(made[0].model)) if made else train([], np.zeros(0, np.int64), **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -390,6 +406,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 values = pa.array(own.scores(part.column(len(keep)).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], values], names=[*keep, score_col])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(unused(keep, "text")["text"]))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return rows.mapInArrow(run, ", ".join([*fields, f"`{score_col}` double"]))

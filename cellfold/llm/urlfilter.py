@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.shared import cut, literal_table
+from cellfold.llm.shared import cut, literal_table, unused
 
 #: Rules are broadcast up to this many; beyond it the token join shuffles.
 BROADCAST_RULES = 100_000
@@ -126,6 +126,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url_col: st
     rank = F.struct(F.length("rule").alias("length"), (F.col("verdict") == "block").cast("int").alias("blocks"), F.col("rule"), F.col("verdict"))
     judged = fits.groupBy("host", "path").agg(F.max(rank).alias("best"))
     # The hash as a further key makes both sides shuffle, so a hot URL's rows can be split.
-    key = F.xxhash64("host", "path").alias("__key")
-    joined = split.select("*", key).join(judged.select("*", key), ["__key", "host", "path"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    name = unused(pages.columns, "key", "best")
+    key = F.xxhash64("host", "path").alias(name["key"])
+    joined = split.select("*", key).join(judged.select("host", "path", F.col("best").alias(name["best"]), key), [name["key"], "host", "path"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col(name["best"])["rule"].alias("rule"), F.coalesce(F.col(name["best"])["verdict"], F.lit(default)).alias("verdict"))

@@ -31,8 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:cellfold:page:"
 #: A new archive begins after so many bytes.
 ARCHIVE_BYTES = 64 << 20
-#: Bytes decompressed at a time; the longest header of a record that is read.
-CHUNK, LONGEST_HEADER = 1 << 16, 1 << 20
+#: Bytes decompressed at a time.
+CHUNK = 1 << 16
 
 
 class WarcError(ValueError):
@@ -102,7 +102,7 @@ def read_records(stream: BinaryIO) -> Iterator[Record]:
             if not waiting:
                 return
         unpack, parts, need = zlib.decompressobj(31), [], None
-        head, size = b"", 0
+        head, size = bytearray(), 0
         headers: dict[str, str] = {}
         while not unpack.eof:
             if not waiting:
@@ -115,20 +115,23 @@ def read_records(stream: BinaryIO) -> Iterator[Record]:
                 raise WarcError(f"record {number}: {e}") from e
             waiting = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
             if need is None:
+                # A header has any length; its end is looked for in what is new, and three bytes before.
+                known = max(0, len(head) - 3)
                 head += data
-                if b"\r\n\r\n" not in head:
-                    if len(head) > LONGEST_HEADER:
-                        raise WarcError(f"record {number}: a header of more than {LONGEST_HEADER} bytes")
+                end = head.find(b"\r\n\r\n", known)
+                if end < 0:
                     continue
-                head, _, data = head.partition(b"\r\n\r\n")
-                headers = _headers(head, number)
+                data = bytes(head[end + 4 :])
+                headers = _headers(bytes(head[:end]), number)
                 need = int(headers["Content-Length"])
             parts.append(data)
             size += len(data)
             if size > need + 4:
                 raise WarcError(f"record {number}: longer than its Content-Length of {need}")
+        if need is None:
+            raise WarcError(f"record {number}: its header has no end")
         body = b"".join(parts)
-        if need is None or len(body) != need + 4 or body[need:] != b"\r\n\r\n":
+        if len(body) != need + 4 or body[need:] != b"\r\n\r\n":
             raise WarcError(f"record {number}: not framed by its Content-Length")
         record = Record(headers.pop("WARC-Type", ""), headers, body[:need])
         _verify(record, number)

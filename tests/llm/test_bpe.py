@@ -87,3 +87,17 @@ def test_query(spark, pair):
     for r in rows:
         ids = pair[1].encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+@pytest.mark.parametrize("given, kept", [("64m", 8 << 20), ("1g", 8 << 20), ("4m", 4 << 20), ("1000000", 1_000_000), ("8388608b", 8 << 20)])
+def test_arrow_bound_reads_units(spark, given, kept):
+    from cellfold.llm.shared import bounded_batches, size_of
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, given)
+        bounded_batches(spark)
+        assert size_of(spark, spark.conf.get(name)) == kept
+    finally:
+        spark.conf.set(name, before)

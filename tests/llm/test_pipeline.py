@@ -98,7 +98,7 @@ def test_run_equals_its_stages(spark, stages):
 
 def test_stages_of_odd_documents(spark, odd_docs):
     """Nulls, empties, repeats, a long text and columns that clash with inner names, stage by stage."""
-    docs = odd_docs.withColumns({"__score": F.lit("s"), "__whole": F.lit("w"), "__of": F.lit("o"), "id": F.lit(1), "root": F.lit("r")})
+    docs = odd_docs.withColumns({"__score": F.lit("s"), "__whole": F.lit("w"), "__of": F.lit("o"), "id": F.lit(1), "root": F.lit("r"), "__text": F.lit("t"), "t": F.lit("u"), "y": F.lit(0)})
     whole = Counter(docs.collect())
     tox, simhash, mixing, bpe = (stage for _, stage in corpus_pipeline.STAGES)
     kept = tox(spark, docs, SF)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellfold.llm.queries import ORACLES, RULES, op9_url_filter
 from cellfold.llm.urlfilter import Rule, filter_urls
@@ -64,3 +65,11 @@ def test_shuffled_rules_give_the_same(spark, monkeypatch):
 
 def test_query(spark, duck):
     assert comparable(op9_url_filter(spark, SF).toPandas()) == comparable(duck.sql(ORACLES["op9_url_filter"]).df())
+
+
+def test_long_urls_and_clashing_names(spark):
+    rows = [(1, "http://a.org/" + "x/" * 600_000, "k"), (2, "http://" + "s." * 100_000 + "a.org/x/", "k")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, __key string").withColumn("best", F.lit(1)).withColumn("token", F.lit(2))
+    found = filter_urls(frame, [Rule("a.org", "/x/", "block")])
+    assert found.columns == ["page_id", "url", "__key", "best", "token", "host", "path", "rule", "verdict"]
+    assert {(r.page_id, r.rule, r.verdict, r["__key"], r.best) for r in found.collect()} == {(1, "a.org/x/", "block", "k", 1), (2, "a.org/x/", "block", "k", 1)}

@@ -73,6 +73,15 @@ def test_pages(spark):
     assert {r.record_type for r in longer} == {"response"}
 
 
+def test_long_urls(spark):
+    """A header of any length is written and read back; other pages and their columns don't mind."""
+    url = "http://e.org/" + "p/" * 1_200_000
+    rows = [(1, url, "a", "n"), (2, url + "x", "b", "n"), (3, "u", "a", "n")]
+    frame = spark.createDataFrame(rows, PAGES).withColumnRenamed("note", "payload_digest")
+    found = {r.record_id[-1]: r for r in read_archives(write_archives(frame, fresh_dir(spark, "warc"))).collect()}
+    assert [found[k].url for k in "123"] == [url, url + "x", "u"] and found["1"].refers_to == "urn:cellfold:page:3"
+
+
 def test_no_pages(spark):
     archives = write_archives(spark.createDataFrame([], PAGES), fresh_dir(spark, "warc"))
     assert archives.count() == 0 and read_archives(archives).count() == 0
