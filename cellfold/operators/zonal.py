@@ -15,6 +15,8 @@ from cellfold.functions import geometry as G
 from cellfold.operators.block_zonal import zonal_by_blocks
 from cellfold.operators.coverage import cell_shares, centers_inside, plane_area
 from cellfold.operators.overlap import first_overlap
+from cellfold.operators.surface import surface_areas
+from cellfold.operators.validity import has_broken_ring, invalid_features, is_simple
 from cellfold.plans.materialize import keep
 from cellfold.sources.block_grid import BlockGrid
 from cellfold.sources.grid import GridSpec, Raster, validate_population
@@ -69,8 +71,8 @@ def _check_layer(layer: VectorLayer, population_column: str, antimeridian: str,
         raise ValueError(f"hazard vector has no column {row_id!r} for row_id.")
     g = F.col(layer.geometry)
     empty = (F.size(F.flatten(g)) == 0) | F.exists(F.flatten(g), lambda r: F.size(r) == 0)
-    broken = F.lit(0) if antimeridian == "split" else F.count_if(g.isNotNull() & ~empty & ~_valid(g))
-    rows, missing, vacant, invalid = frame.agg(F.count("*"), F.count_if(g.isNull()), F.count_if(g.isNotNull() & empty), broken).first()
+    there = g.isNotNull() & ~empty
+    rows, missing, vacant, broken, rough = frame.agg(F.count("*"), F.count_if(g.isNull()), F.count_if(g.isNotNull() & empty), F.count_if(there & has_broken_ring(g)), F.count_if(there & ~is_simple(g))).first()
     if not rows:
         raise ValueError("hazard vector must have at least one polygon feature.")
     if row_id is not None:
@@ -79,7 +81,10 @@ def _check_layer(layer: VectorLayer, population_column: str, antimeridian: str,
         raise ValueError("hazard vector has missing geometry.")
     if vacant:
         raise ValueError("hazard vector has empty geometry.")
-    if invalid:
+    if antimeridian == "split":
+        return
+    # Only shapes that could be invalid are numbered and kept for the joins.
+    if broken or rough and not invalid_features(keep(frame.where(there & ~is_simple(g)).select(F.monotonically_increasing_id().alias("fid"), g.cast(G.SCHEMA).alias("geometry")))).isEmpty():
         raise ValueError("hazard vector has invalid geometry.")
 
 
@@ -93,14 +98,6 @@ def _check_ids(frame: DataFrame, row_id: str) -> None:
         raise ValueError(f"row_id {row_id!r} must be unique; {repeated} values repeat, such as {first!r}.")
 
 
-def _valid(geometry: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v is None or G.is_valid(G.from_rows(v)))
-
-    return run(geometry)
-
-
 def on_grid(features: DataFrame, hazard: C.Crs, spec: GridSpec, antimeridian: str, reprojecting: bool) -> DataFrame:
     """``features(fid, geometry)`` in the grid's system: seams refused or split, then reprojected.
 
@@ -158,6 +155,11 @@ def coverage_fraction(area: Column, inside: Column, cell_area: float) -> Column:
 def surface_fractions(features: DataFrame, spec: GridSpec) -> DataFrame:
     """(fid, surface): share of a feature's surface area on the WGS84 ellipsoid inside the grid."""
     crs, world = spec.known_crs("population"), C.KNOWN["EPSG:4326"]
+    if crs == world and spec.axis_aligned:
+        left, bottom, right, top = spec.bounds
+        found = surface_areas(features, left, bottom, right, top)
+        share = F.when(F.col("inside") > 0, F.least(F.lit(1.0), F.col("inside") / F.col("whole"))).otherwise(F.raise_error(F.lit("A feature's intersection with the population grid has no area.")).cast("double"))
+        return found.select("fid", share.alias("surface"))
     w, h = float(spec.width), float(spec.height)
 
     @F.pandas_udf("double")
@@ -231,7 +233,7 @@ def assign_polygons(
     features = on_grid(features, hazard, raster.spec, antimeridian, reprojecting)
     if antimeridian == "split" or reprojecting:
         features = keep(features)
-        if features.where(~_valid(F.col("geometry"))).limit(1).count():
+        if not invalid_features(features).isEmpty():
             raise ValueError("hazard vector has invalid geometry.")
     if not allow_overlaps and (pair := first_overlap(features)):
         raise ValueError(f"hazard vector has overlapping polygons at rows {name(pair[0])} and {name(pair[1])}; pass allow_overlaps=True for independent, non-additive totals.")
@@ -255,8 +257,8 @@ def assign_polygons(
         covered = coverage >= 1 - TOLERANCE
         summary = summary.join(surface_fractions(features, raster.spec), "fid")
         added |= {COVERAGE_FRACTION: F.when(covered, 1.0).otherwise(F.least(F.col("surface"), F.lit(BELOW_ONE))), COVERAGE_COMPLETE: covered}
-    found = summary.select("fid", *[value.alias(f"__out_{name}") for name, value in added.items()])
-    joined = numbered.join(found, numbered["__fid"] == found["fid"])
+    found = summary.select(F.col("fid").alias("__found"), *[value.alias(f"__out_{name}") for name, value in added.items()])
+    joined = numbered.join(found, F.col("__fid") == F.col("__found"))
     frame = joined.select(*[F.col(f"`{c}`") for c in layer.frame.columns], *[F.col(f"`__out_{n}`").alias(n) for n in added])
     attrs = {
         **layer.attrs,
