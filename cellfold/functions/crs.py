@@ -1,7 +1,8 @@
 """A small registry of coordinate systems, and their projections in numpy.
 
 Formulas are those of Snyder, "Map Projections: A Working Manual" (1987), on the
-WGS84 and GRS80 ellipsoids. Systems outside the registry are refused by name.
+WGS84 and GRS80 ellipsoids; ``projections`` has the families that parameters tell apart. Systems outside
+the registry are refused by name.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from cellfold.errors import CrsMismatchError
+from cellfold.functions.projections import SYSTEMS, Projection, by_code, from_wkt
 
 #: WGS84: semi-major axis and flattening. GRS80 differs in the flattening only.
 WGS84_A, WGS84_F, GRS80_F = 6378137.0, 1 / 298.257223563, 1 / 298.257222101
@@ -25,6 +27,7 @@ class Crs:
     name: str
     kind: str
     half_turn: float | None = None
+    projection: Projection | None = None
 
     @property
     def geographic(self) -> bool:
@@ -54,11 +57,29 @@ def as_crs(value: object, parameter: str = "input") -> Crs:
     if found := re.fullmatch(r"URN:OGC:DEF:CRS:(\w+):[^:]*:(\w+)", text):
         text = f"{found[1]}:{found[2]}"
     text = ALIASES.get(text, text)
+    if re.match(r"(PROJ|GEOG|GEOD)[A-Z]*\s*[\[(]", text):
+        return _from_text(str(value).strip(), parameter)
+    if text not in KNOWN and (found := by_code(text)):
+        return Crs(text, found.kind, projection=found)
     if text not in KNOWN:
-        raise ValueError(f"{parameter} CRS could not be read: {value!r}. Known systems: {', '.join(sorted(KNOWN))}.")
+        raise ValueError(f"{parameter} CRS could not be read: {value!r}. Known systems: {', '.join(sorted({*KNOWN, *SYSTEMS}))}, zones of UTM, and well-known text.")
     return KNOWN[text]
 
 
+def _from_text(text: str, parameter: str) -> Crs:
+    """A system from well-known text: a known one by its code, else by its parameters."""
+    try:
+        name, projection = from_wkt(text)
+    except (ValueError, IndexError, TypeError) as error:
+        raise ValueError(f"{parameter} CRS could not be read: {error}") from error
+    name = ALIASES.get(name, name)
+    if name in KNOWN:
+        return KNOWN[name]
+    if projection is None:
+        raise ValueError(f"{parameter} CRS could not be read: {name!r} is another geographic system than EPSG:4326.")
+    return Crs(name, projection.kind, projection=projection)
+
+
 def match(hazard: object, population: object, allow_reprojection: bool) -> bool:
     """Whether to reproject; refuses different systems unless that is allowed."""
     left, right = as_crs(hazard, "hazard"), as_crs(population, "population")
@@ -115,7 +136,9 @@ def forward(crs: Crs, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.
     lam, phi = np.radians(lon), np.radians(lat)
     with np.errstate(all="ignore"):
         outside = (np.abs(lat) > 90 + 1e-9) | ~np.isfinite(lon) | ~np.isfinite(lat)
-        if crs.kind == "degrees":
+        if crs.projection:
+            x, y = crs.projection.forward(lon, lat)
+        elif crs.kind == "degrees":
             x, y = lon, lat
         elif crs.kind == "mercator":
             x, y = WGS84_A * lam, WGS84_A * np.arctanh(np.sin(phi))
@@ -146,6 +169,8 @@ def inverse(crs: Crs, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
     """WGS84 degrees of coordinates; not finite where there are none."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     with np.errstate(all="ignore"):
+        if crs.projection:
+            return crs.projection.inverse(x, y)
         if crs.kind == "degrees":
             return x, y
         if crs.kind == "mercator":

@@ -25,7 +25,8 @@ from cellfold.operators.overlap import overlap_pairs
 from cellfold.operators.parity import compare
 from cellfold.operators.tabular import MATCH, key_report, matched
 from cellfold.operators.zonal import center_sums, on_grid
-from cellfold.functions.crs import KNOWN
+from cellfold.functions.crs import KNOWN, as_crs
+from cellfold.functions.projections import columns as column_functions
 from cellfold.plans.materialize import shared_folder
 from cellfold.sources.block_grid import BlockGrid, write_block_grid
 from cellfold.sources.grid import GridSpec, Raster, cell_centers
@@ -372,6 +373,17 @@ def catalog_selection_check(spark, sf_dir):
     return rows.select(F.concat_ws(":", "source_id", "year").alias("selection")).withColumn("known", known("selection"))
 
 
+def utm_coordinates(spark, sf_dir):
+    """Coordinates in UTM 33N of points from supplier keys, as column expressions, and back to degrees."""
+    k = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(k.alias("key"), (13.0 + (k * 37 % 401) / 100.0).alias("lon"), (40.0 + (k * 53 % 1999) / 100.0).alias("lat"))
+    utm, m = as_crs("EPSG:32633").projection, column_functions()
+    x, y = utm.forward(F.col("lon"), F.col("lat"), m)
+    lon, lat = utm.inverse(F.col("x"), F.col("y"), m)
+    back = points.withColumns({"x": x, "y": y}).withColumns({"lon2": lon, "lat2": lat})
+    return back.select("key", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), F.round("lon2", 9).alias("lon"), F.round("lat2", 9).alias("lat"))
+
+
 def stream_static_assignment(spark, sf_dir):
     """Events as a stream, assigned to counts by user; the rows written are read back."""
     from cellfold.streaming.assign import append_to, assign_stream
@@ -393,7 +405,7 @@ QUERIES = {
         tabular_exact_join, tabular_threshold_sum, tabular_group_sum, tabular_composite_key, tabular_unmatched_report, key_quality_report, cell_center_table,
         raster_same_grid, raster_fractional_regrid, raster_cross_crs, raster_coarsen, raster_masked_cells, raster_conservation, raster_data_support, raster_block_totals, raster_window_read, band_exposure,
         zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, block_zonal_sum, block_window_read, tile_window_read, tile_regrid_window, cell_coverage_shares,
-        surface_coverage, antimeridian_split, overlap_report, reproject_mercator_box, reproject_mollweide_area, cube_year_total, fine_coarse_parity, catalog_list, catalog_selection_check, stream_static_assignment,
+        surface_coverage, antimeridian_split, overlap_report, reproject_mercator_box, reproject_mollweide_area, cube_year_total, fine_coarse_parity, utm_coordinates, catalog_list, catalog_selection_check, stream_static_assignment,
     )
 }
 
@@ -484,5 +496,12 @@ SELECT row, col, 1.0::DOUBLE AS hazard, round(v / 4, 6) AS population FROM t LEF
     "fine_coarse_parity": "SELECT (l_orderkey % 16 // 4)::INT AS row, (l_partkey % 16 // 4)::INT AS col, round(sum(l_quantity), 4) AS fine, round(sum(l_quantity) + max(l_quantity) / 10, 4) AS coarse, max(l_quantity) / 10 <= 1 AS same FROM lineitem GROUP BY l_orderkey % 16 // 4, l_partkey % 16 // 4",
     "catalog_list": "SELECT * FROM (VALUES ('worldpop-global-1km', 2000, 2020, 21, 'EPSG:4326', 43200, 18720, 'residential'), ('ghsl-r2023a-mollweide-1km', 1975, 2020, 10, 'ESRI:54009', 36082, 18000, 'residential'), ('gpwv4-r11-count', 2000, 2020, 5, 'EPSG:4326', 43200, 21600, 'residential'), ('chambers-hybrid', 1950, 2020, 71, 'EPSG:4326', 1440, 720, 'residential'), ('landscan-global', 2000, 2024, 25, 'EPSG:4326', 43200, 21600, 'ambient')) t(source_id, first_year, last_year, n_years, crs, width, height, meaning)",
     "catalog_selection_check": "WITH s(id, a, b, step) AS (VALUES ('worldpop-global-1km', 2000, 2020, 1), ('ghsl-r2023a-mollweide-1km', 1975, 2020, 5), ('gpwv4-r11-count', 2000, 2020, 5), ('chambers-hybrid', 1950, 2020, 1), ('landscan-global', 2000, 2024, 1)) SELECT id || ':' || (1996 + n_nationkey)::VARCHAR AS selection, 1996 + n_nationkey BETWEEN a AND b AND (1996 + n_nationkey - a) % step = 0 AS known FROM nation, s",
+    # Snyder's series in powers of the longitude's difference, not Krüger's.
+    "utm_coordinates": """WITH c AS (SELECT 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2, 0.9996::DOUBLE AS k0),
+p AS (SELECT s_suppkey AS key, 13.0::DOUBLE + (s_suppkey * 37 % 401)::DOUBLE / 100.0::DOUBLE AS lon, 40.0::DOUBLE + (s_suppkey * 53 % 1999)::DOUBLE / 100.0::DOUBLE AS lat FROM supplier),
+s AS (SELECT key, lon, lat, a, e2, k0, e2 / (1 - e2) AS ep2, radians(lat) AS f, a / sqrt(1 - e2 * sin(radians(lat)) ** 2) AS n, tan(radians(lat)) ** 2 AS t, e2 / (1 - e2) * cos(radians(lat)) ** 2 AS cc, radians(lon - 15) * cos(radians(lat)) AS d,
+  a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256 - 175 * e2 ** 4 / 16384) * radians(lat) - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024 + 420 * e2 ** 4 / 16384) * sin(2 * radians(lat)) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024 + 525 * e2 ** 4 / 16384) * sin(4 * radians(lat)) - (35 * e2 ** 3 / 3072 + 175 * e2 ** 4 / 12288) * sin(6 * radians(lat)) + 315 * e2 ** 4 / 131072 * sin(8 * radians(lat))) AS mm FROM p, c)
+SELECT key, round(500000 + k0 * n * (d + (1 - t + cc) * d ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * cc - 58 * ep2) * d ** 5 / 120), 1) AS x,
+  round(k0 * (mm + n * tan(f) * (d ** 2 / 2 + (5 - t + 9 * cc + 4 * cc ** 2) * d ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * cc - 330 * ep2) * d ** 6 / 720)), 1) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat FROM s""",
     "stream_static_assignment": "SELECT event_type, count(*) AS events, count(c_custkey) AS matched, round(sum(abs(c_acctbal) + 1), 3) AS population FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY 1",
 }
