@@ -31,6 +31,7 @@ from cellfold.plans.materialize import shared_folder
 from cellfold.sources.block_grid import BlockGrid, write_block_grid
 from cellfold.sources.grid import GridSpec, Raster, cell_centers
 from cellfold.sources.layer import VectorLayer, from_boxes, from_wkt
+from cellfold.sources.order import with_position
 from cellfold.sources.tiles import read_tiles, write_tiles
 
 SIDE = 16
@@ -115,6 +116,14 @@ def tabular_threshold_sum(spark, sf_dir):
     return rounded(threshold_total(_exact(spark, sf_dir), 200_000.0, "o_totalprice"))
 
 
+def tabular_input_order(spark, sf_dir):
+    """The exact join with each order's position in its file, kept through all shuffles."""
+    lines = table(spark, sf_dir, "lineitem")
+    hazard = with_position(table(spark, sf_dir, "orders")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    hazard = hazard.select(F.col("o_orderkey").alias("cell"), "position")
+    return rounded(assign_population(hazard, lines.groupBy(F.col("l_orderkey").alias("cell")).agg(F.sum("l_quantity").alias("population")), cell_columns="cell").orderBy("position"))
+
+
 def tabular_group_sum(spark, sf_dir):
     return rounded(_exact(spark, sf_dir).groupBy("o_orderpriority").agg(F.sum("population").alias("population")))
 
@@ -402,7 +411,7 @@ def stream_static_assignment(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        tabular_exact_join, tabular_threshold_sum, tabular_group_sum, tabular_composite_key, tabular_unmatched_report, key_quality_report, cell_center_table,
+        tabular_exact_join, tabular_threshold_sum, tabular_input_order, tabular_group_sum, tabular_composite_key, tabular_unmatched_report, key_quality_report, cell_center_table,
         raster_same_grid, raster_fractional_regrid, raster_cross_crs, raster_coarsen, raster_masked_cells, raster_conservation, raster_data_support, raster_block_totals, raster_window_read, band_exposure,
         zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, block_zonal_sum, block_window_read, tile_window_read, tile_regrid_window, cell_coverage_shares,
         surface_coverage, antimeridian_split, overlap_report, reproject_mercator_box, reproject_mollweide_area, cube_year_total, fine_coarse_parity, utm_coordinates, catalog_list, catalog_selection_check, stream_static_assignment,
@@ -452,6 +461,7 @@ _HOLED_AREA = f"{5.0 * 6.0 - 2.3 * 3.3 + 2.2 * 7.2!r}"
 ORACLES = {
     "tabular_exact_join": f"WITH {EXACT} SELECT cell, o_orderpriority, round(o_totalprice, 6) AS o_totalprice, round(population, 6) AS population FROM exact",
     "tabular_threshold_sum": f"WITH {EXACT} SELECT round(sum(population), 6) AS population FROM exact WHERE o_totalprice >= 200000",
+    "tabular_input_order": "WITH o AS (SELECT o_orderkey, row_number() OVER () - 1 AS position FROM orders) SELECT o_orderkey AS cell, position, round(q, 6) AS population FROM o JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
     "tabular_group_sum": f"WITH {EXACT} SELECT o_orderpriority, round(sum(population), 6) AS population FROM exact GROUP BY 1",
     "tabular_composite_key": "SELECT l_suppkey % 50 AS grid_x, l_partkey % 40 AS grid_y, round(sum(l_extendedprice), 2) AS loss, round(sum(l_quantity), 2) AS people FROM lineitem GROUP BY 1, 2",
     "tabular_unmatched_report": "SELECT count(*) AS unmatched FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
