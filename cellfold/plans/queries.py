@@ -26,6 +26,7 @@ from cellfold.operators.parity import compare
 from cellfold.operators.tabular import MATCH, key_report, matched
 from cellfold.operators.zonal import center_sums, on_grid
 from cellfold.functions.crs import KNOWN, as_crs
+from cellfold.functions.exact import exact_sums
 from cellfold.functions.projections import columns as column_functions
 from cellfold.plans.materialize import shared_folder
 from cellfold.sources.block_grid import BlockGrid, write_block_grid
@@ -128,6 +129,12 @@ def tabular_group_sum(spark, sf_dir):
     return rounded(_exact(spark, sf_dir).groupBy("o_orderpriority").agg(F.sum("population").alias("population")))
 
 
+def exact_totals(spark, sf_dir):
+    """Sums of doubles to the last bit, without rounding: any partitioning gives the same."""
+    lines = table(spark, sf_dir, "lineitem")
+    return exact_sums(lines, ["l_returnflag", "l_linestatus"], price="l_extendedprice", revenue=F.col("l_extendedprice") * (1 - F.col("l_discount")))
+
+
 def tabular_composite_key(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     by = [(F.col("l_suppkey") % 50).alias("grid_x"), (F.col("l_partkey") % 40).alias("grid_y")]
@@ -411,7 +418,7 @@ def stream_static_assignment(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        tabular_exact_join, tabular_threshold_sum, tabular_input_order, tabular_group_sum, tabular_composite_key, tabular_unmatched_report, key_quality_report, cell_center_table,
+        tabular_exact_join, tabular_threshold_sum, tabular_input_order, tabular_group_sum, tabular_composite_key, exact_totals, tabular_unmatched_report, key_quality_report, cell_center_table,
         raster_same_grid, raster_fractional_regrid, raster_cross_crs, raster_coarsen, raster_masked_cells, raster_conservation, raster_data_support, raster_block_totals, raster_window_read, band_exposure,
         zonal_box_sum, zonal_data_support, zonal_partial_coverage, zonal_missing_null, zonal_triangle_sum, zonal_hole_multipart, zonal_cell_center, block_zonal_sum, block_window_read, tile_window_read, tile_regrid_window, cell_coverage_shares,
         surface_coverage, antimeridian_split, overlap_report, reproject_mercator_box, reproject_mollweide_area, cube_year_total, fine_coarse_parity, utm_coordinates, catalog_list, catalog_selection_check, stream_static_assignment,
@@ -463,6 +470,10 @@ ORACLES = {
     "tabular_threshold_sum": f"WITH {EXACT} SELECT round(sum(population), 6) AS population FROM exact WHERE o_totalprice >= 200000",
     "tabular_input_order": "WITH o AS (SELECT o_orderkey, row_number() OVER () - 1 AS position FROM orders) SELECT o_orderkey AS cell, position, round(q, 6) AS population FROM o JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
     "tabular_group_sum": f"WITH {EXACT} SELECT o_orderpriority, round(sum(population), 6) AS population FROM exact GROUP BY 1",
+    "exact_totals": """WITH n AS (SELECT l_returnflag, l_linestatus, sum((l_extendedprice * 4503599627370496.0::DOUBLE)::HUGEINT) AS p, sum((l_extendedprice * (1 - l_discount) * 4503599627370496.0::DOUBLE)::HUGEINT) AS r FROM lineitem GROUP BY 1, 2),
+u AS (SELECT l_returnflag, l_linestatus, name, n, (SELECT max(1::HUGEINT << k::INT) FROM range(0, 60) t(k) WHERE k = 0 OR n // (1::HUGEINT << k::INT) >= 4503599627370496) AS u FROM (SELECT l_returnflag, l_linestatus, unnest(['p', 'r']) AS name, unnest([p, r]) AS n FROM n)),
+d AS (SELECT l_returnflag, l_linestatus, name, (n // u + CASE WHEN n % u * 2 > u OR (n % u * 2 = u AND n // u % 2 = 1) THEN 1 ELSE 0 END)::BIGINT::DOUBLE * u::DOUBLE / 4503599627370496.0::DOUBLE AS s FROM u)
+SELECT l_returnflag, l_linestatus, max(s) FILTER (name = 'p') AS price, max(s) FILTER (name = 'r') AS revenue FROM d GROUP BY 1, 2""",
     "tabular_composite_key": "SELECT l_suppkey % 50 AS grid_x, l_partkey % 40 AS grid_y, round(sum(l_extendedprice), 2) AS loss, round(sum(l_quantity), 2) AS people FROM lineitem GROUP BY 1, 2",
     "tabular_unmatched_report": "SELECT count(*) AS unmatched FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "key_quality_report": "SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS missing, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS repeated",

@@ -1,0 +1,55 @@
+import math
+import random
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from cellfold.functions.exact import exact_sums, limbs
+
+from tests.conftest import SF
+
+
+def hard(rng, n):
+    """Values of all sizes and signs that cancel."""
+    out = [rng.uniform(-1, 1) * 2.0 ** rng.randrange(-1070, 1000) for _ in range(n)]
+    return out + [-v for v in out[: n // 2]] + [5e-324, 1e308, -1e308, 0.0, -0.0, 2.0**32, 2.0**32 - 1, 2.0**53 + 2, 1 / 3]
+
+
+def test_limbs_make_up_their_value(spark):
+    values = hard(random.Random(1), 500)
+    for v, parts in spark.createDataFrame([(v,) for v in values], "v double").select("v", limbs(F.col("v"))).collect():
+        assert sum(Fraction(int(p["v"])) * Fraction(2) ** (32 * p["k"]) for p in parts) == Fraction(v)
+        assert all(abs(int(p["v"])) < 2**34 for p in parts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sums_round_once_whatever_the_order(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i % 3, v) for i, v in enumerate(hard(rng, 900))]
+    want = {k: math.fsum(v for g, v in rows if g == k) for k in range(3)}
+    for parts in (1, 5, 17):
+        rng.shuffle(rows)
+        found = exact_sums(spark.createDataFrame(rows, "g int, v double").repartition(parts), ["g"], total="v")
+        assert {r.g: r.total for r in found.collect()} == want
+
+
+def test_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("null", None), ("none", None), ("null", 2.5), ("nan", nan), ("nan", 1.0), ("inf", inf), ("inf", 1e308), ("both", inf), ("both", -inf), ("zero", 0.0), ("zero", -0.0), ("over", 1.5e308), ("over", 1.5e308), ("under", -1.5e308), ("under", -1.5e308), (None, 0.1), (None, 0.2), ("cancel", 1e100), ("cancel", 1.0), ("cancel", -1e100)]
+    found = {r.g: r.s for r in exact_sums(spark.createDataFrame(rows, "g string, v double"), ["g"], s="v").collect()}
+    assert found.pop("nan") != found.get("nan", 0) and math.isnan(found.pop("both"))
+    assert found == {"null": 2.5, "none": None, "inf": inf, "zero": 0.0, "over": inf, "under": -inf, None: 0.1 + 0.2, "cancel": 1.0}
+    assert exact_sums(spark.createDataFrame([], "g string, v double"), ["g"], s="v").count() == 0
+
+
+def test_several_values_and_no_keys(spark):
+    frame = spark.read.parquet(f"{SF}/lineitem.parquet")
+    found = exact_sums(frame, [], q="l_quantity", p=F.col("l_extendedprice") * (1 - F.col("l_discount"))).first()
+    rows = frame.select("l_quantity", F.col("l_extendedprice") * (1 - F.col("l_discount"))).collect()
+    assert (found.q, found.p) == (math.fsum(r[0] for r in rows), math.fsum(r[1] for r in rows))
+
+
+def test_partial_sums_before_the_shuffle(spark):
+    plan = exact_sums(spark.range(100).selectExpr("id % 2 as g", "id * 0.1 as v"), ["g"], s="v")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and plan.index("partial_sum") > plan.index("Exchange")
