@@ -376,8 +376,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts += batch.column(0).to_pylist()
             found += batch.column(1).to_pylist()
-        with get_context("fork").Pool(1) as pool:
-            model = pool.apply(train, (texts, np.array(found)), options)
+        # The process shares this one's sample; a process that dies fails the task, which is tried again.
+        fork = get_context("fork")
+        here, there = fork.Pipe(duplex=False)
+        process = fork.Process(target=lambda: there.send(train(texts, np.array(found), **options)))
+        process.start()
+        there.close()
+        model = here.recv()
+        process.join()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.weights, model.scale, model.shift))], pa.binary())], names=["model"])
 
     bounded_batches(docs.sparkSession)
