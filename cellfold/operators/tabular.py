@@ -96,19 +96,19 @@ def assign_table(hazard: DataFrame, population: DataFrame, cell_columns: str | S
     if not numeric and right["v2"]:
         raise ValueError(f"population column {population_column!r} must be numeric.")
     if right["v0"]:
-        raise ValueError("Population values must be finite.")
+        raise ValueError(f"population column {population_column!r} has values that aren't finite.")
     if right["v1"]:
-        raise ValueError("Population values must be non-negative.")
+        raise ValueError(f"population column {population_column!r} needs non-negative counts.")
     counts = population.select(*map(_key, keys), (value if numeric else F.lit(None).cast("double")).alias(population_column))
     joined = keep(matched(hazard, counts, keys, population_column))
     unmatched = joined.agg(F.count_if(F.col(MATCH).isNull())).first()[0]
     if unmatched:
-        raise ValueError(f"{unmatched} hazard {'row' if unmatched == 1 else 'rows'} did not match a population cell exactly.")
+        raise ValueError(f"{unmatched} hazard {'row' if unmatched == 1 else 'rows'} did not find {'its' if unmatched == 1 else 'their'} exact keys in the population.")
     return joined.drop(MATCH)
 
 
 def matched(hazard: DataFrame, counts: DataFrame, keys: Sequence[str], population_column: str) -> DataFrame:
     """``hazard`` with the count of its keys in ``counts``; ``MATCH`` is null in rows without any."""
-    own = counts.select(*[_key(k).alias(f"__cell_{i}") for i, k in enumerate(keys)], _key(population_column).alias("__population"), F.lit(True).alias("__found"))
-    joined = hazard.join(own, [_key(k) == F.col(f"__cell_{i}") for i, k in enumerate(keys)], "left")
-    return joined.select(*[_key(c) for c in hazard.columns], F.col("__population").alias(population_column), F.col("__found").alias(MATCH))
+    own = counts.select(*[_key(k).alias(f"__key{i}") for i, k in enumerate(keys)], _key(population_column).alias("__count"), F.lit(True).alias("__found"))
+    joined = hazard.join(own, [_key(k) == F.col(f"__key{i}") for i, k in enumerate(keys)], "left")
+    return joined.select(*[_key(c) for c in hazard.columns], F.col("__count").alias(population_column), F.col("__found").alias(MATCH))

@@ -26,7 +26,7 @@ def assign_stream(hazard: DataFrame, population: DataFrame, cell_columns: str |
     if report["missing"] or report["repeated"]:
         raise ValueError("population needs complete and unique keys.")
     if report["v0"]:
-        raise ValueError("Population values must be finite and non-negative.")
+        raise ValueError("the static population needs finite, non-negative counts.")
     return hazard.join(population.select(*keys, value.alias(population_column)), list(keys), "left")
 
 
