@@ -31,8 +31,8 @@ from cellfold.llm.shared import bounded_batches, cut, fresh_dir, open_fs, partit
 MAGIC = b"CFWM1\n"
 #: Bits of a block; ids after which a shard is closed; rows in a range of ids.
 BLOCK_BITS, SHARD_IDS = 1 << 16, 1 << 21
-#: Bytes of text encoded at a time.
-SLICE_BYTES = 16 << 20
+#: Bytes of text encoded at a time; of distinct parts and their ids that a process remembers.
+SLICE_BYTES, REMEMBERED_BYTES = 16 << 20, 48 << 20
 
 
 # ---------------------------------------------------------------------- format
@@ -170,8 +170,10 @@ class PartEncoder:
 
     This suits vocabularies that drop white space and case (``NORMALIZER``, ``SPLIT``): no
     token spans white space, so equal parts have equal ids, and each distinct part of a
-    slice of texts is encoded once. Any other vocabulary is applied to whole texts. Parts of letters go to the library many at a time; tokens that end a word tell
-    them apart. Others are set apart by a control character that has a token of its own;
+    slice of texts is encoded once, and not again while ``REMEMBERED_BYTES`` hold it. Any other vocabulary is applied to whole texts.
+    Parts of letters go to the library many at a time; tokens that end a word tell
+    them apart; those of a-z only pass the normalizer and the splits unchanged, so the library gets them
+    without either. Others are set apart by a control character that has a token of its own;
     those that hold it, or the mark of a special token, go one at a time.
     """
 
@@ -179,7 +181,7 @@ class PartEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         model = self.tokenizer.model
@@ -192,15 +194,44 @@ class PartEncoder:
         suffix = facts["model"].get("end_of_word_suffix")
         before = (facts["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_parts = (facts["normalizer"] or {}).get("normalizers") == NORMALIZER and len(before) == 2 and before[0] == SPLIT and BYTES.items() <= before[1].items()
+        self.plain = Tokenizer(model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closing[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _recall(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in a row, number of ids of each part) of distinct parts; only new ones are encoded."""
+        at = pc.index_in(parts, value_set=self.known[0])
+        fresh = parts.filter(pc.is_null(at))
+        known, flat, sizes = self.known
+        if len(fresh):
+            ids, n = self._encode_distinct(fresh)
+            pick = np.asarray(at.fill_null(0)).astype(np.int64)
+            pick[np.asarray(pc.is_null(at))] = len(known) + np.arange(len(fresh))
+            known, flat, sizes = pa.concat_arrays([known, fresh]), np.concatenate((flat, ids)), np.concatenate((sizes, n))
+        else:
+            pick = np.asarray(at)
+        if known.nbytes + flat.nbytes + sizes.nbytes <= REMEMBERED_BYTES:
+            self.known = known, flat, sizes
+        else:
+            self._forget()
+        return gather(flat, sizes, pick)
 
     def _run(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
+    def _plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._cut(parts, self.plain.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids)
+
     def _letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self._run([" ".join(parts)])[0]
-        ids = np.array(found.ids, np.uint32)
+        return self._cut(parts, self._run([" ".join(parts)])[0].ids)
+
+    def _cut(self, parts: list[str], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(ids, np.uint32)
         last = np.flatnonzero(self.closing[ids])
         if len(last) != len(parts):  # lower case or composition cut a part in two
             return self._marked(parts)
@@ -220,10 +251,11 @@ class PartEncoder:
     def _encode_distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts in a row, number of ids of each part)."""
         special = pc.or_(pc.match_substring(parts, self.SPECIAL), pc.match_substring(parts, self.MARK))
-        kind = np.where(np.asarray(special), 2, np.where(np.asarray(pc.utf8_is_alpha(parts)), 0, 1))
+        letters = np.where(np.asarray(pc.match_substring_regex(parts, "^[a-z]+$")), 0, np.where(np.asarray(pc.utf8_is_alpha(parts)), 1, 2))
+        kind = np.where(np.asarray(special), 3, letters)
         order = np.argsort(kind, kind="stable")
-        flat, sizes, grouped, bounds = [], [], parts.take(pa.array(order)), np.searchsorted(kind[order], [0, 1, 2, 3])
-        for k, run in enumerate((self._letters, self._marked, self._single)):
+        flat, sizes, grouped, bounds = [], [], parts.take(pa.array(order)), np.searchsorted(kind[order], [0, 1, 2, 3, 4])
+        for k, run in enumerate((self._plain, self._letters, self._marked, self._single)):
             for i in range(bounds[k], bounds[k + 1], 1024):
                 ids, n = run(grouped.slice(i, min(1024, bounds[k + 1] - i)).to_pylist())
                 flat.append(ids)
@@ -248,7 +280,7 @@ class PartEncoder:
         core = pc.if_else(closed, pc.ascii_rtrim(lower, ".,;:!?"), lower)
         tail = pc.if_else(closed, pc.replace_substring_regex(lower, r"^.*[0-9a-z]", ""), "")
         both = pa.concat_arrays([core, tail]).dictionary_encode()
-        ids, sizes = self._encode_distinct(both.dictionary)
+        ids, sizes = self._recall(both.dictionary)
         n, pick = len(distinct), np.asarray(both.indices)
         ids, sizes = gather(ids, sizes, np.stack((pick[:n], pick[n:]), axis=1).ravel())
         sizes = sizes.reshape(-1, 2).sum(1)

@@ -74,6 +74,31 @@ def test_slices_of_a_batch(encoder):
     assert sum(encoder.encode(p.column(0))[1].sum() for p in parts) == encoder.encode(batch.column(0))[1].sum()
 
 
+@pytest.mark.parametrize("limit", [wave.REMEMBERED_BYTES, 1000, 0])
+def test_known_parts_are_not_encoded_again(monkeypatch, limit):
+    """Ids are the same whatever is remembered, and the library is asked for new parts only."""
+    monkeypatch.setattr(wave, "REMEMBERED_BYTES", limit)
+    own, asked, rng = wave.PartEncoder(vocabulary("word_bpe_49k.json")), [], random.Random(8)
+    whole = own._encode_distinct
+    monkeypatch.setattr(own, "_encode_distinct", lambda parts: asked.extend(parts.to_pylist()) or whole(parts))
+    slices = [[" ".join(rng.choice(["One", "two,", "3rd!", "é", "<|endoftext|>", f"w{rng.randrange(60)}"]) for _ in range(30)) for _ in range(10)] + ["", None] for _ in range(6)]
+    for texts in (*slices, slices[0]):
+        ids, sizes = own.encode(pa.array(texts))
+        want = library(own, texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    before = len(asked)
+    own.encode(pa.array(slices[0]))
+    assert (len(asked) > before) == (limit < wave.SLICE_BYTES)
+
+
+def test_parts_of_plain_letters(encoder):
+    """Parts of a-z alone, beside parts that hold a line's end or other letters, give the library's ids."""
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 25))) for _ in range(3000)] + ["a", "x" * 500, "é", "ß", "ok\u00a0no", "aé"]
+    ids, sizes = encoder.encode(pa.array(parts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(encoder, parts)
+
+
 def expected(encoder, rows):
     """Documents in order: (id, start, size, crc)."""
     out, start = [], 0
