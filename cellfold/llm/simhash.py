@@ -10,8 +10,8 @@ where whole fingerprints are compared. Where a half no longer tells fingerprints
 the tree goes on over the other half, searched with the whole radius.
 
 For groups, a shard gives a spanning forest of the links it finds, never all its
-pairs. To keep one document of each group of similar texts, these links are checked by
-the exact similarity, and ``similar.py`` finds the pairs beyond the radius.
+pairs. To keep one document of each group of near-duplicates, these links count as they
+are, and ``similar.py`` adds all links of similar texts, within the radius or beyond it.
 """
 
 from __future__ import annotations
@@ -310,9 +310,9 @@ def simhash_representatives(
 ) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest id.
 
-    * Texts are linked if their sets of word shingles have the Jaccard ``similarity``
-      or more: those within ``radius`` bits are found by the trees, all others by
-      ``similar_links``. Components are taken once, over all links: a text that is
+    * Texts are linked if their fingerprints differ in ``radius`` or fewer bits (by the
+      trees), or if their sets of word shingles have the Jaccard ``similarity`` or more
+      (by ``similar_links``). Components are taken once, over all links: a text that is
       dropped still links others. Without a ``similarity``, the bits alone decide.
     * Null, empty and wordless texts are equal, so one of them stays.
     * Of rows that repeat an id, the one with the smallest xxhash64 of its text (then of
@@ -349,11 +349,13 @@ def _dropped(named: DataFrame, radius: int, similarity: float | None, shingle: i
         marked = cut(fingerprints(named, "id"))
         return marked.join(_components(marked, "id", radius), "fp").where("id <> component_id").select("id")
     marked = cut(marked_texts(named, shingle))
-    # Texts of equal sets are one; only its smallest id is compared.
-    first = cut(marked.groupBy("digest").agg(F.min(F.struct("id", "fp", "n")).alias("least")).select("digest", "least.*"))
+    # Texts of equal sets are one; only its smallest id is compared, and that of each of its fingerprints.
+    shapes = cut(marked.groupBy("digest", "fp").agg(F.min(F.struct("id", "n")).alias("least")).select("digest", "fp", "least.*"))
+    first = cut(shapes.groupBy("digest").agg(F.min(F.struct("id", "n")).alias("least")).select("digest", "least.*"))
     equal = split_join(marked.select("id", "digest"), first.select("digest", F.col("id").alias("b")), "digest").where("id <> b").select(F.col("id").alias("a"), "b")
-    links = similar_links(named, first.select("id", "n"), read_shingles(shingle), similarity, _close(first.select("id", "fp"), radius))
-    return connected_components(equal.union(links)).where("node <> root").select(F.col("node").alias("id"))
+    close = _close(shapes.select("id", "fp"), radius)
+    links = similar_links(named, first.select("id", "n"), read_shingles(shingle), similarity)
+    return connected_components(equal.union(close).union(links)).where("node <> root").select(F.col("node").alias("id"))
 
 
 def _close(marked: DataFrame, radius: int) -> DataFrame:

@@ -362,12 +362,11 @@ def _meet(rows_of, read, units: DataFrame, kind: str, similarity: float) -> Data
     return cut(made.join(_hinted(keyed), "id").groupBy("key").applyInArrow(match, f"a {kind}, b {kind}"))
 
 
-def similar_links(rows: DataFrame, docs: DataFrame, read, similarity: float, known: DataFrame | None = None) -> DataFrame:
+def similar_links(rows: DataFrame, docs: DataFrame, read, similarity: float) -> DataFrame:
     """(a, b): links of the Jaccard ``similarity`` or more that keep every component whole.
 
     ``docs`` has a column ``id``, without nulls, and the sizes ``n`` of its sets; ``rows`` has
     ``id`` and what ``read`` makes (ids, sets' elements, sizes) of, for these ids and maybe more.
-    Links ``known(a, b)``, found in another way, are candidates too.
     """
     kind = rows.schema["id"].dataType.simpleString()
     rows_of = lambda ids: rows.join(_hinted(ids), "id", "left_semi")
@@ -388,8 +387,7 @@ def similar_links(rows: DataFrame, docs: DataFrame, read, similarity: float, kno
 
     parts = max(partitions(docs.sparkSession), math.ceil(tokens / ROWS))
     prefixes = shared_prefixes(rows_of(docs.select("id")), read, kind, frequent, parts, similarity)
-    pairs = candidates(prefixes)
-    clusters = connected_components(pairs if known is None else pairs.union(known))
+    clusters = connected_components(candidates(prefixes))
     sizes = clusters.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = split_join(clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")), sizes, "cluster")
     members = cut(members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))

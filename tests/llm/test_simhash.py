@@ -174,3 +174,19 @@ def test_stage_drops_similar_and_keeps_others(spark):
     assert len(clean) > 20 and kept.issuperset(clean)
     narrow = {r.doc_id for r in simhash_representatives(docs, similarity=None).collect()}
     assert kept < narrow
+
+
+def test_links_of_fingerprints_decide(spark):
+    """Texts within 3 bits are one group, though their sets of shingles differ, and so are all that share a set with one of them."""
+    first, second = ([f"{x}{i}" for i in range(5)] for x in "pq")
+    tail = [f"t{i}" for i in range(30)]
+    end = second * 3 + first * 3 + second * 3
+    # The second text has the first one's set; the third is near the second one's fingerprint only.
+    texts = [first * 200 + end, first * 3 + second * 200 + first * 3 + second * 3, second * 200 + tail, [f"u{i}" for i in range(300)]]
+    fps = [fingerprint(" ".join(t)) for t in texts]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    assert sets[0] == sets[1] and len(sets[1] & sets[2]) < 0.5 * len(sets[1] | sets[2])
+    assert (fps[1] ^ fps[2]).bit_count() <= 3 < (fps[0] ^ fps[2]).bit_count()
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash_representatives(docs).collect()} == {0, 3}
+    assert {r.doc_id for r in simhash_representatives(docs.where("doc_id > 0")).collect()} == {1, 3}
