@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from functools import cached_property, lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from cellfold.llm.shared import bounded_batches, unused
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of a piece matrix, characters of text per slice, pieces remembered.
-CELLS, SLICE, REMEMBERED = 1 << 20, 1 << 20, 200_000
+CELLS, SLICE, REMEMBERED = 1 << 18, 1 << 20, 200_000
 #: Bytes of a piece that is still merged beside others.
 LONG = 1024
 
@@ -83,7 +83,8 @@ class ByteBpe:
         left, right, merged = np.array(pairs, np.int64).reshape(-1, 3).T
         self.pairs = PairTable((left << 32) | right, merged.astype(np.int32))
         self.merges = left, right, merged
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Ids of a piece as the bytes of 32-bit numbers, a third of what a tuple takes.
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str):
         """The matches of the pattern, in lists of bounded length."""
@@ -102,7 +103,7 @@ class ByteBpe:
         for i, data in enumerate(raw):
             whole = self.ranks.get(data)
             if whole is not None:
-                self.known[new[i]] = (whole,)
+                self.known[new[i]] = np.int32(whole).tobytes()
             elif len(data) > LONG:
                 self.known[new[i]] = self._merge_long(data)
             else:
@@ -118,7 +119,7 @@ class ByteBpe:
                 self.known[new[i]] = ids
             start = stop
 
-    def _merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
         width = int(lengths.max())
         flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
@@ -126,15 +127,15 @@ class ByteBpe:
         inside = np.arange(1, width)[:, None] < lengths[None, :]
         rank = np.full((width - 1, n), NONE, np.int32)
         rank[inside] = self.pairs.get(ids[:-1][inside], ids[1:][inside])
-        at, out = np.arange(n), [()] * n
+        at, out = np.arange(n), [b""] * n
         while len(at):
             col = np.arange(len(at))
             pos = rank.argmin(0) if len(rank) else np.zeros(len(at), np.int64)
             best = rank[pos, col] if len(rank) else np.full(len(at), NONE)
             if (done := best == NONE).any():
-                cells, left = ids[:, done], lengths[done]
-                for i, k in enumerate(np.flatnonzero(done)):
-                    out[at[k]] = tuple(cells[: left[i], i].tolist())
+                cells, left = np.ascontiguousarray(ids[:, done].T), lengths[done].tolist()
+                for i, k in enumerate(at[done].tolist()):
+                    out[k] = cells[i, : left[i]].tobytes()
                 keep = ~done
                 ids, rank, at, lengths, pos, best = ids[:, keep], rank[:, keep], at[keep], lengths[keep], pos[keep], best[keep]
                 if not len(at):
@@ -160,7 +161,7 @@ class ByteBpe:
         left, right, merged = (x.tolist() for x in self.merges)
         return dict(zip(zip(left, right, strict=True), merged, strict=True))
 
-    def _merge_long(self, data: bytes) -> tuple[int, ...]:
+    def _merge_long(self, data: bytes) -> bytes:
         n, of_pair, none = len(data), self.of_pair, int(NONE)
         ids = self.of_byte[np.frombuffer(data, np.uint8)]
         rank = np.full(-(-n // LONG) * LONG, NONE, np.int32)
@@ -185,7 +186,8 @@ class ByteBpe:
                 rank[left] = of_pair.get((ids[left], merged), none)
             for k in {row, gone // LONG, max(left, 0) // LONG}:
                 least[k] = rows[k].min()
-        return tuple(i for i in ids if i >= 0)
+        ids = np.array(ids, np.int32)
+        return ids[ids >= 0].tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of whole texts; null and empty texts have none."""
@@ -212,7 +214,7 @@ class ByteBpe:
 
     def _join(self, pieces: list[str]) -> np.ndarray:
         known = self.known
-        return np.array(list(chain.from_iterable([known[p] for p in pieces])), np.int32)
+        return np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
 
     def _ids(self, pieces: list[str]) -> np.ndarray:
         self._remember(set(pieces))

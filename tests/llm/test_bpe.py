@@ -101,3 +101,20 @@ def test_arrow_bound_reads_units(spark, given, kept):
         assert size_of(spark, spark.conf.get(name)) == kept
     finally:
         spark.conf.set(name, before)
+
+
+def test_memory_of_distinct_pieces():
+    """Many distinct pieces are encoded and remembered in bounded memory: about 100 bytes each, and some 15 MB on the way."""
+    import tracemalloc
+
+    own, rng = bpe.load(vocabulary("byte_bpe_50k.tiktoken"), pattern()), random.Random(6)
+    own.known.clear()
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(60_000))
+    pieces = own.pattern.findall(text)
+    tracemalloc.start()
+    try:
+        own._remember(set(pieces))
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(own.known) > 59_000 and held < 110 * len(own.known) and peak - held < 20 << 20
