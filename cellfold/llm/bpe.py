@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.shared import bounded_batches, unused
+from cellfold.llm.shared import bounded_batches, released, unused
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of a piece matrix, characters of text per slice, pieces remembered.
@@ -265,7 +265,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(unused(keep, "text")["text"]))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{ids_col}` array<int>", *([f"`{decoded_col}` binary"] if decoded_col else [])])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

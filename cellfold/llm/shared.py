@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,15 +61,37 @@ def split_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") ->
 BATCH_BYTES = 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by ``BATCH_BYTES`` where the session has a higher bound (64 MB by default).
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound Arrow batches by ``most`` bytes where the session has a higher bound (64 MB by default).
 
     Whole texts go to Python, and a task holds a batch several times on both sides. This
     sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch``; results don't change.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if size_of(spark, spark.conf.get(name)) > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+    if size_of(spark, spark.conf.get(name)) > most:
+        spark.conf.set(name, f"{most}b")
+
+
+def freed(made=None):
+    """``made`` as it is, once the memory that this process no longer uses is back with the system.
+
+    Workers live on from task to task, and the allocators of Arrow and C keep what a task
+    has freed: up to a hundred MB each, beside which the next stages must find room.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+    return made
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, which leaves no freed memory with the worker."""
+
+    def whole(batches):
+        yield from run(batches)
+        freed()
+
+    return whole
 
 
 def size_of(spark: SparkSession, text: str) -> int:

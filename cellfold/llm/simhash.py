@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellfold.llm.components import connected_components, forest
-from cellfold.llm.shared import bounded_batches, cut, split_join
+from cellfold.llm.shared import bounded_batches, cut, freed, released, split_join
 from cellfold.llm.similar import BROADCAST_IDS, read_shingles, shingle_hashes, similar_links
 
 SEED = 42
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return kept.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(released(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def marked_texts(named: DataFrame, shingle: int) -> DataFrame:
@@ -104,7 +104,7 @@ def marked_texts(named: DataFrame, shingle: int) -> DataFrame:
                 digests = [xxhash.xxh3_128_digest(tokens[a:b].tobytes(), SEED) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "fp", "digest", "n"])
 
-    return named.select("id", "text").mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, fp long, digest binary, n long")
+    return named.select("id", "text").mapInArrow(released(run), f"id {named.schema['id'].dataType.simpleString()}, fp long, digest binary, n long")
 
 
 # ------------------------------------------------------------------------ tree
@@ -274,7 +274,7 @@ def link_forest(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int =
         return pa.table({"a": fps[linked].view(np.int64), "b": fps[label[linked]].view(np.int64)})
 
     dealt = distinct.select("fp").mapInArrow(deal, "tree int, shard long, fp long, home boolean")
-    return dealt.groupBy("tree", "shard").applyInArrow(match, "a long, b long")
+    return dealt.groupBy("tree", "shard").applyInArrow(lambda key, table: freed(match(key, table)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellfold.llm.components import connected_components
-from cellfold.llm.shared import cut, partitions, split_join
+from cellfold.llm.shared import cut, freed, partitions, released, split_join
 
 #: Texts of which frequent shingles are counted, and the most that are held as frequent.
 SAMPLE_TEXTS, FREQUENT = 2048, 100_000
@@ -132,7 +132,7 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
 def read_shingles(shingle: int):
     """A reader of Arrow batches (id, text): (ids, hashes, numbers of hashes) of bounded slices.
 
-    A slice has at most 1,024 rows and, but for one long text, about 4 MB.
+    A slice has at most 1,024 rows and, but for one long text, about 1 MB.
     """
 
     def read(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -140,7 +140,7 @@ def read_shingles(shingle: int):
             size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), np.int64))
             at = 0
             while at < batch.num_rows:
-                limit = (size[at - 1] if at else 0) + (1 << 22)
+                limit = (size[at - 1] if at else 0) + (1 << 20)
                 stop = min(at + 1024, max(at + 1, int(np.searchsorted(size, limit, "right"))))
                 yield batch.column(0).slice(at, stop - at), *shingle_hashes(batch.column(1).slice(at, stop - at), shingle)
                 at = stop
@@ -275,8 +275,8 @@ def sharing_sets(rows: DataFrame, read, kind: str, parts: int, similarity: float
         enough = pa.array(shared >= np.ceil(similarity * np.asarray(sizes) - 1e-9))
         return pa.table({"id": ids.filter(enough), "n": sizes.filter(enough).cast(pa.int64())})
 
-    dealt = rows.mapInArrow(pack, f"part int, {told}, tokens binary").repartition(parts, "part")
-    return dealt.mapInArrow(compare, told).groupBy("batch").applyInArrow(decide, f"id {kind}, n long")
+    dealt = rows.mapInArrow(released(pack), f"part int, {told}, tokens binary").repartition(parts, "part")
+    return dealt.mapInArrow(released(compare), told).groupBy("batch").applyInArrow(lambda table: freed(decide(table)), f"id {kind}, n long")
 
 
 def shared_prefixes(rows: DataFrame, read, kind: str, frequent: tuple[np.ndarray, np.ndarray], parts: int, similarity: float) -> DataFrame:
@@ -322,9 +322,9 @@ def shared_prefixes(rows: DataFrame, read, kind: str, frequent: tuple[np.ndarray
 
     # Frequent shingles are spread by set, others meet by shingle.
     spread = F.when(F.col("df").isNotNull(), F.xxhash64("token", "id")).otherwise(F.col("token"))
-    dealt = rows.mapInArrow(flat, shape).withColumn("at", spread).repartition(parts, "at").drop("at")
+    dealt = rows.mapInArrow(released(flat), shape).withColumn("at", spread).repartition(parts, "at").drop("at")
     own = Window.partitionBy("id")
-    ranked = dealt.mapInArrow(count, shape).withColumns({"size": F.max("n").over(own), "shared": F.count(F.when(F.col("n").isNull(), 1)).over(own)})
+    ranked = dealt.mapInArrow(released(count), shape).withColumns({"size": F.max("n").over(own), "shared": F.count(F.when(F.col("n").isNull(), 1)).over(own)})
     ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy(F.col("n").isNotNull(), "df", "token")))
     # Shingles of no other set come first: so many of the prefix are used up.
     return ranked.where(F.col("n").isNull() & (F.col("rank") <= F.col("shared") + 1 - F.ceil(F.lit(similarity) * F.col("size") - 1e-9))).select("token", "id")
@@ -358,8 +358,8 @@ def _meet(rows_of, read, units: DataFrame, kind: str, similarity: float) -> Data
         ids = table.column("id").combine_chunks()
         return pa.table({"a": ids.take(pa.array(found[:, 0])), "b": ids.take(pa.array(found[:, 1]))})
 
-    made = rows_of(units.select("id").distinct()).mapInArrow(sets, f"id {kind}, set array<long>")
-    return cut(made.join(_hinted(keyed), "id").groupBy("key").applyInArrow(match, f"a {kind}, b {kind}"))
+    made = rows_of(units.select("id").distinct()).mapInArrow(released(sets), f"id {kind}, set array<long>")
+    return cut(made.join(_hinted(keyed), "id").groupBy("key").applyInArrow(lambda table: freed(match(table)), f"a {kind}, b {kind}"))
 
 
 def similar_links(rows: DataFrame, docs: DataFrame, read, similarity: float) -> DataFrame:
@@ -381,7 +381,7 @@ def similar_links(rows: DataFrame, docs: DataFrame, read, similarity: float) ->
         for _, tokens, _ in read(batches):
             yield pa.RecordBatch.from_arrays([pa.array(tokens)], names=["h"])
 
-    counted = rows_of(docs.where(pick).select("id")).mapInArrow(elements, "h long").groupBy("h").count()
+    counted = rows_of(docs.where(pick).select("id")).mapInArrow(released(elements), "h long").groupBy("h").count()
     drawn = counted.where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas().sort_values("h")
     frequent = drawn["h"].to_numpy(np.int64), drawn["count"].to_numpy(np.int64)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellfold.llm.shared import bounded_batches, unused
+from cellfold.llm.shared import bounded_batches, freed, released, unused
 
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -266,8 +266,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, least_steps: in
             docs = shuffled[i : i + batch]
             if i % (8 * batch) == 0:  # windows are ranked by a network at most 8 steps old
                 near = np.unique(np.concatenate([ids[d] for d in shuffled[i : i + 8 * batch]]))
-                sides = [_gates(w, *vocabulary.rows(near[j : j + CHUNK])) for j in range(0, len(near), CHUNK)]
-                gf, gb = (np.concatenate(side) for side in zip(*sides, strict=True))
+                gf, gb = np.empty((2, len(near), 3 * STATE), np.float32)
+                for j in range(0, len(near), CHUNK):
+                    gf[j : j + CHUNK], gb[j : j + CHUNK] = _gates(w, *vocabulary.rows(near[j : j + CHUNK]))
             at, lengths, owner = windows([ids[d] for d in docs])
             local = np.minimum(np.searchsorted(near, at), len(near) - 1)
             logit = np.concatenate([model.window_logits(gf, gb, local[j : j + 4096], lengths[j : j + 4096]) for j in range(0, len(at), 4096)])
@@ -315,8 +316,8 @@ class Words:
     """The distinct words of a training sample, with their rows in the two tables."""
 
     def __init__(self, distinct: list[str]):
-        parts = [word_rows(distinct[i : i + CHUNK]) for i in range(0, len(distinct), CHUNK)]
-        self.at, self.grams, self.sizes = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in range(3))
+        parts = [[x.astype(np.int32) for x in word_rows(distinct[i : i + CHUNK])] for i in range(0, len(distinct), CHUNK)]
+        self.at, self.grams, self.sizes = map(np.concatenate, zip(*parts, strict=True))
         self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
 
     def rows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,6 +377,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts += batch.column(0).to_pylist()
             found += batch.column(1).to_pylist()
+        batch = None
+        freed()
         # The process shares this one's sample; a process that dies fails the task, which is tried again.
         fork = get_context("fork")
         here, there = fork.Pipe(duplex=False)
@@ -387,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.weights, model.scale, model.shift))], pa.binary())], names=["model"])
 
     bounded_batches(docs.sparkSession)
-    made = rows.repartition(1).sortWithinPartitions("id").select("t", "y").mapInArrow(learn, "model binary").collect()
+    made = rows.repartition(1).sortWithinPartitions("id").select("t", "y").mapInArrow(released(learn), "model binary").collect()
     return Model(*pickle.loads(made[0].model)) if made else train([], np.zeros(0, np.int64), **options)
 
 
@@ -414,4 +417,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(unused(keep, "text")["text"]))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*fields, f"`{score_col}` double"]))
+    return rows.mapInArrow(released(run), ", ".join([*fields, f"`{score_col}` double"]))

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from cellfold.llm.bpe import bpe_encode
 from cellfold.llm.mixing import mix_sources
 from cellfold.llm.queries import MIX_SEED, TOXIC, WEIGHTS, pattern, table, vocabulary
-from cellfold.llm.shared import fresh_dir, unused
+from cellfold.llm.shared import bounded_batches, fresh_dir, unused
 from cellfold.llm.simhash import simhash_representatives
 from cellfold.llm.toxicity import fit, score
 
 #: SQL can't train or run the toxicity network; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
+#: Bytes of a batch of texts: executors also hold what earlier stages left in their processes.
+BATCH_BYTES = 2 << 20
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the rejecting one.
@@ -23,6 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows stay or go together; without labels the score is a constant below the
     rejecting one. All columns stay, whatever their names. An empty table stays empty.
     """
+    bounded_batches(spark, BATCH_BYTES)
     model = fit(docs, table(spark, sf_dir, "labels"))
     name = unused(docs.columns, "score")["score"]
     return score(docs, model, score_col=name).where(F.col(name) < TOXIC).drop(name)
@@ -35,6 +39,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     an id one stays; rows with a null id all stay. All columns stay, whatever their names.
     An empty table stays empty.
     """
+    bounded_batches(spark, BATCH_BYTES)
     return simhash_representatives(docs)
 
 
@@ -54,6 +59,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids. Rows and all other columns stay; columns named
     n_tokens, ids or exact in the input are an error. An empty table stays empty.
     """
+    bounded_batches(spark, BATCH_BYTES)
     kept = [c for c in docs.columns if c != "text"]
     if clash := {"n_tokens", "ids", "exact"} & set(kept):
         raise ValueError(f"output column {sorted(clash)[0]!r} already exists")
