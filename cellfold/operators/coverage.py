@@ -43,42 +43,62 @@ def boundary_pieces(features: DataFrame, spec: GridSpec, fid: str = "fid", geome
 
     Columns left of the grid are all -1, those right of it all its width; neither has a part.
     """
-    rings = features.select(F.col(fid).alias("fid"), F.explode(F.col(geometry)).alias("part"))
-    rings = rings.select("fid", F.posexplode("part").alias("ring_no", "ring"))
+    rows = with_rows(grid_edges(features.select(F.col(fid).alias("fid"), F.col(geometry).alias("geometry")), spec), spec.height)
+    rows = cut_at_rows(rows.withColumn("row", F.explode(F.sequence("r0", "r1"))), spec.width)
+    pieces = cut_at_columns(rows.withColumn("col", F.explode(F.sequence("c0", "c1"))), spec.width)
+    return pieces.groupBy("fid", "row", "col").agg(F.sum("cover").alias("cover"), F.sum("part").alias("part"))
+
+
+def grid_edges(features: DataFrame, spec: GridSpec) -> DataFrame:
+    """The edges of ``features(fid, geometry)`` from (ax, ay) to (bx, by) in grid coordinates, with their sign and the other columns.
+
+    Edges along a row bound nothing and are left out.
+    """
+    rest = [c for c in features.columns if c != "geometry"]
+    rings = features.select(*rest, F.explode("geometry").alias("part"))
+    rings = rings.select(*rest, F.posexplode("part").alias("ring_no", "ring"))
     # Shells are counted positive and holes negative, whatever their direction.
     sign = F.signum(ring_area(F.col("ring"))) * F.when(F.col("ring_no") == 0, 1.0).otherwise(-1.0)
-    edges = rings.select("fid", sign.alias("sign"), F.explode(F.expr("transform(sequence(1, size(ring) - 1), i -> struct(ring[i - 1] as p, ring[i] as q))")).alias("e"))
+    edges = rings.select(*rest, sign.alias("sign"), F.explode(F.expr("transform(sequence(1, size(ring) - 1), i -> struct(ring[i - 1] as p, ring[i] as q))")).alias("e"))
     ax, ay = spec.to_cell(F.col("e.p.x"), F.col("e.p.y"))
     bx, by = spec.to_cell(F.col("e.q.x"), F.col("e.q.y"))
     flip = 1.0 if spec.determinant > 0 else -1.0
-    edges = edges.select("fid", (F.col("sign") * flip).alias("sign"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).where("ay <> by")
-    return _pieces(edges, spec.width, spec.height)
+    return edges.select(*rest, (F.col("sign") * flip).alias("sign"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).where("ay <> by")
 
 
-def _pieces(edges: DataFrame, width: int, height: int) -> DataFrame:
+def with_rows(edges: DataFrame, height: int) -> DataFrame:
+    """Edges with the first and the last row of the grid that they touch, ``r0`` and ``r1``; those that touch none are left out."""
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     first, last = F.greatest(F.floor(low), F.lit(0)), F.least(F.ceil(high) - 1, F.lit(height - 1))
-    rows = edges.withColumns({"r0": first.cast("int"), "r1": last.cast("int")}).where("r0 <= r1")
-    rows = rows.withColumn("row", F.explode(F.sequence("r0", "r1")))
-    # The piece within the row, from y0 to y1 in the edge's direction.
-    y0, y1 = (F.greatest(F.least(F.col(c), F.col("row") + 1.0), F.col("row").cast("double")) for c in ("ay", "by"))
-    rows = rows.withColumns({"y0": y0, "y1": y1}).where("y0 <> y1")
+    return edges.withColumns({"r0": first.cast("int"), "r1": last.cast("int")}).where("r0 <= r1")
+
+
+def _at(y: str) -> Column:
+    """Where an edge is at a height."""
     slope = (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    at = lambda y: F.when(F.col(y) == F.col("ay"), F.col("ax")).when(F.col(y) == F.col("by"), F.col("bx")).otherwise(F.col("ax") + (F.col(y) - F.col("ay")) * slope)
-    rows = rows.select("fid", "sign", "row", at("y0").alias("x0"), at("y1").alias("x1"), (F.col("y1") - F.col("y0")).alias("dy"))
-    left, right = F.least("x0", "x1"), F.greatest("x0", "x1")
+    return F.when(F.col(y) == F.col("ay"), F.col("ax")).when(F.col(y) == F.col("by"), F.col("bx")).otherwise(F.col("ax") + (F.col(y) - F.col("ay")) * slope)
+
+
+def cut_at_rows(rows: DataFrame, width: int, first: str = "row", last: str = "row") -> DataFrame:
+    """Edges' pieces between two rows, in the edge's direction: from x0 to x1, of height dy, touching columns c0 to c1."""
+    y0, y1 = (F.greatest(F.least(F.col(c), F.col(last) + 1.0), F.col(first).cast("double")) for c in ("ay", "by"))
+    rows = rows.withColumns({"y0": y0, "y1": y1}).where("y0 <> y1")
+    rows = rows.withColumns({"x0": _at("y0"), "x1": _at("y1"), "dy": F.col("y1") - F.col("y0")})
     # Columns left of the grid are all -1; right of it all ``width``, which covers its row whole.
     clamp = lambda c: F.greatest(F.least(c, F.lit(width)), F.lit(-1)).cast("int")
-    c0 = clamp(F.floor(left))
-    c1 = F.greatest(c0, clamp(F.ceil(right) - 1))
-    cols = rows.withColumn("col", F.explode(F.sequence(c0, c1)))
+    c0 = clamp(F.floor(F.least("x0", "x1")))
+    return rows.withColumns({"c0": c0, "c1": F.greatest(c0, clamp(F.ceil(F.greatest("x0", "x1")) - 1))})
+
+
+def cut_at_columns(cols: DataFrame, width: int) -> DataFrame:
+    """The signed height ``cover`` of a row's piece in column ``col``, and the signed area ``part`` left of it in its cell."""
+    left, right = F.least("x0", "x1"), F.greatest("x0", "x1")
     lower = F.when(F.col("col") < 0, left).otherwise(F.greatest(left, F.col("col").cast("double")))
     upper = F.when(F.col("col") >= width, right).when(F.col("col") < 0, F.least(right, F.lit(0.0))).otherwise(F.least(right, F.col("col") + 1.0))
     run = F.col("x1") - F.col("x0")
-    part = F.when(run == 0, F.col("dy")).otherwise(F.col("dy") * F.try_divide(upper - lower, F.abs(run)))
-    cols = cols.select("fid", "sign", "row", "col", part.alias("cover"), ((lower + upper) / 2 - F.col("col")).alias("mean"))
-    inside = F.col("col").between(0, width - 1)
-    return cols.groupBy("fid", "row", "col").agg(F.sum(F.col("sign") * F.col("cover")).alias("cover"), F.sum(F.when(inside, F.col("sign") * F.col("cover") * F.col("mean")).otherwise(0.0)).alias("part"))
+    cover = F.when(run == 0, F.col("dy")).otherwise(F.col("dy") * F.try_divide(upper - lower, F.abs(run)))
+    cols = cols.withColumns({"cover": F.col("sign") * cover, "mean": (lower + upper) / 2 - F.col("col")})
+    return cols.withColumn("part", F.when(F.col("col").between(0, width - 1), F.col("cover") * F.col("mean")).otherwise(0.0))
 
 
 def _filled(summed: DataFrame, width: int) -> DataFrame:

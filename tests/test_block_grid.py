@@ -94,6 +94,20 @@ def test_only_boundaries_are_looked_up(spark):
     assert "Window" in cell_shares(box, spec)._jdf.queryExecution().toString()
 
 
+def test_pieces_of_many_features_are_not_broadcast(spark):
+    """Spark takes features of a few bytes for few pieces: only numbers of tiles may go through the driver, not edges or what they are cut into."""
+    grid = write_block_grid(grid_of(spark, GridSpec.north_up(0, 64, 1, 1, 64, 64, "EPSG:3857")), folder(spark), 16, 16)
+    x, y = F.col("id") % 40 + 0.3, F.floor(F.col("id") / 40) + 0.6
+    ring = F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (23.1, 0), (0, 21.7), (0, 0))])
+    triangles = spark.range(1600).select(F.col("id").alias("fid"), F.array(F.array(ring)).alias("geometry"))
+    plan = zonal_by_blocks(triangles, grid)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("LeftSemi" in line and "[tile" in line for line in joins) and "SortMergeJoin" in plan
+    some = triangles.where("fid % 97 = 5")
+    found, wanted = ({r.fid: (r.inside, r.valid, r.total) for r in f.collect()} for f in (zonal_by_blocks(some, grid), zonal_summary(some, grid.raster())))
+    assert len(found) == 17 and found == {k: pytest.approx(v, abs=1e-6) for k, v in wanted.items()}
+
+
 def files(frame):
     return {r[0].rpartition("/")[0].rpartition("tile=")[2] for r in frame.select(F.input_file_name()).distinct().collect()}
 
