@@ -3,7 +3,8 @@
 Candidates come from an equi-join of boxes by tile. A point is in a polygon if, of the edges
 right of it, more go up than down; so the shared area of two polygons is a sum over pairs
 of an edge of each: the integral, over the heights that both have, of the lesser x. Edges
-are cut at horizontal bands and meet by band, so that a huge pair spreads over tasks.
+are cut at horizontal bands and meet by band, so that a huge pair spreads over tasks. Two
+upright rectangles need no edges: what they share is a rectangle too.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellfold.operators.coverage import plane_area, ring_area
+from cellfold.operators.validity import is_box
 
 #: Shared areas up to this part of the smaller polygon are rounding along common edges.
 EPSILON = 1e-12
@@ -23,37 +25,48 @@ def overlap_pairs(features: DataFrame) -> DataFrame:
     Boxes are listed in tiles of a size class: the power of two at or above their longer
     side, so a box touches few tiles of its own class. Every box also asks the tiles of
     larger classes that occur; so a pair meets in the class of its larger box, and no
-    inequality join is needed.
+    inequality join is needed. It counts in one tile only, that of the lower left corner of
+    what both boxes cover, so that pairs aren't compared with each other.
     """
     boxes = _boxes(features)
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     boxes = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).withColumn("size", F.ceil(F.log2(side)).cast("int"))
-    classes = [r[0] for r in boxes.select("size").distinct().orderBy("size").collect()]  # exponents of doubles: at most about 2,000
+    kinds = boxes.select("size", "upright").distinct().collect()  # exponents of doubles: at most about 2,000
+    classes = sorted({r[0] for r in kinds})
     if not classes:
         return features.sparkSession.createDataFrame([], "left long, right long, shared double")
+    # Few tiles may hold most pairs, and Spark sees only how small the tiles are: it would put them into one task.
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def tiles(frame: DataFrame, size) -> DataFrame:
-        step = F.pow(F.lit(2.0), size)
-        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))
-        return frame.withColumn("tx", F.explode(span("x0", "x1"))).withColumn("ty", F.explode(span("y0", "y1")))
+    def tiles(frame: DataFrame) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("class")))
+        corner = frame.withColumns({"cx": at("x0"), "cy": at("y0")})
+        return corner.withColumn("tx", F.explode(F.sequence("cx", at("x1")))).withColumn("ty", F.explode(F.sequence("cy", at("y1")))).repartition(tasks, "class", "tx", "ty")
 
-    listed = tiles(boxes.withColumn("class", F.col("size")), F.col("class"))
-    asked = boxes.withColumn("class", F.explode(F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c >= F.col("size"))))
-    asked = tiles(asked, F.col("class"))
+    listed = tiles(boxes.withColumn("class", F.col("size")))
+    asked = tiles(boxes.withColumn("class", F.explode(F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c >= F.col("size")))))
     a, b = listed.alias("a"), asked.alias("b")
     meet = (F.col("a.class") == F.col("b.class")) & (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty"))
     touch = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1"))
+    here = (F.greatest("a.cx", "b.cx") == F.col("a.tx")) & (F.greatest("a.cy", "b.cy") == F.col("a.ty"))
     once = (F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.fid") < F.col("b.fid")))
-    pairs = a.join(b, meet & touch & once).select(F.least("a.fid", "b.fid").alias("left"), F.greatest("a.fid", "b.fid").alias("right")).distinct()
-    return shared_areas(pairs, features)
+    met = b.join(a.hint("merge"), meet & touch & here & once)
+    upright, pair = F.col("a.upright") & F.col("b.upright"), [F.least("a.fid", "b.fid").alias("left"), F.greatest("a.fid", "b.fid").alias("right")]
+    width, height = (F.least(f"a.{c}1", f"b.{c}1") - F.greatest(f"a.{c}0", f"b.{c}0") for c in "xy")
+    found = met.where(upright).select(*pair, (width * height).alias("shared"), F.least("a.area", "b.area").alias("least"))
+    found = found.where(F.col("shared") > EPSILON * F.col("least")).select("left", "right", "shared")
+    if all(r[1] for r in kinds):
+        return found
+    rough = shared_areas(met.where(~upright).select(*pair), features)
+    return found.unionByName(rough) if any(r[1] for r in kinds) else rough
 
 
 def _boxes(features: DataFrame) -> DataFrame:
-    """(fid, x0, x1, y0, y1, area, edges) of each feature."""
+    """(fid, x0, x1, y0, y1, area, edges, upright) of each feature."""
     ring = F.flatten("geometry")
     xs = F.flatten(F.transform(ring, lambda r: F.transform(r, lambda p: p["x"])))
     ys = F.flatten(F.transform(ring, lambda r: F.transform(r, lambda p: p["y"])))
-    return features.select("fid", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"), plane_area(F.col("geometry")).alias("area"), F.size(ys).alias("edges"))
+    return features.select("fid", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"), plane_area(F.col("geometry")).alias("area"), F.size(ys).alias("edges"), is_box(F.col("geometry")).alias("upright"))
 
 
 def _step(exponent: str) -> Column:

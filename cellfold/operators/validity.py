@@ -20,16 +20,27 @@ def _pairs(ring: Column, f) -> Column:
     return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), f)
 
 
-def is_simple(geometry: Column) -> Column:
-    """Triangles and upright rectangles of one closed finite ring with area: they are valid without further tests."""
+def is_box(geometry: Column) -> Column:
+    """Upright rectangles of one closed finite ring with area."""
     ring = F.get(F.get(geometry, 0), 0)
     p = [F.get(ring, i) for i in range(5)]
     same = lambda a, b, c: a[c] == b[c]
     upright = lambda i: same(p[i], p[i + 1], "x") & same(p[i + 2], p[(i + 3) % 4], "x") & same(p[i + 1], p[i + 2], "y") & same(p[(i + 3) % 4], p[i], "y")
-    box = (F.size(ring) == 5) & same(p[0], p[4], "x") & same(p[0], p[4], "y") & (upright(0) | upright(1)) & ~same(p[0], p[2], "x") & ~same(p[0], p[2], "y")
+    return _one_ring(geometry, (F.size(ring) == 5) & same(p[0], p[4], "x") & same(p[0], p[4], "y") & (upright(0) | upright(1)) & ~same(p[0], p[2], "x") & ~same(p[0], p[2], "y"))
+
+
+def is_simple(geometry: Column) -> Column:
+    """Triangles and upright rectangles of one closed finite ring with area: they are valid without further tests."""
+    ring = F.get(F.get(geometry, 0), 0)
+    p = [F.get(ring, i) for i in range(4)]
     turn = (p[1]["x"] - p[0]["x"]) * (p[2]["y"] - p[0]["y"]) - (p[2]["x"] - p[0]["x"]) * (p[1]["y"] - p[0]["y"])
-    triangle = (F.size(ring) == 4) & same(p[0], p[3], "x") & same(p[0], p[3], "y") & (turn != 0)
-    return F.coalesce((F.size(geometry) == 1) & (F.size(F.get(geometry, 0)) == 1) & _finite(ring) & (box | triangle), F.lit(False))
+    triangle = (F.size(ring) == 4) & (p[0]["x"] == p[3]["x"]) & (p[0]["y"] == p[3]["y"]) & (turn != 0)
+    return is_box(geometry) | _one_ring(geometry, triangle)
+
+
+def _one_ring(geometry: Column, shape: Column) -> Column:
+    """Whether a geometry is one finite ring of a shape."""
+    return F.coalesce((F.size(geometry) == 1) & (F.size(F.get(geometry, 0)) == 1) & _finite(F.get(F.get(geometry, 0), 0)) & shape, F.lit(False))
 
 
 def _finite(ring: Column) -> Column:

@@ -9,6 +9,7 @@ from cellfold.operators.overlap import overlap_pairs
 from cellfold.operators.parity import compare, nesting
 from cellfold.plans.queries import ORACLES, QUERIES
 from cellfold.sources.grid import GridSpec, Raster
+from cellfold.sources.layer import from_boxes
 
 from tests.conftest import SF, comparable
 
@@ -39,6 +40,21 @@ def test_overlaps_of_very_different_sizes(spark):
     assert overlap_pairs(frame.limit(0)).count() == 0
 
 
+def test_dense_boxes_take_one_join(spark):
+    """Many pairs in few tiles, on their borders and of several sizes: each pair once, without a broadcast, comparing pairs or cutting edges."""
+    k = F.col("id")
+    corner = spark.range(700).select(k.alias("fid"), (k * 37 % 41 - 20).cast("double").alias("x0"), (k * 53 % 29 / 2 - 7).alias("y0"), (1 + k % 7 * 1.25).alias("w"), (0.5 + k % 5 * 2.75).alias("h"))
+    frame = from_boxes(corner.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("h")}), "x0", "y0", "x1", "y1", "EPSG:3857").frame.select("fid", "geometry")
+    pairs = overlap_pairs(frame)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and not any(word in plan for word in ("Broadcast", "Aggregate", "NestedLoop"))
+    rows = {r.fid: (r.x0, r.y0, r.x0 + r.w, r.y0 + r.h) for r in corner.collect()}
+    shared = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    want = {(i, j): v for i in rows for j in rows if i < j and (v := shared(rows[i], rows[j])) > 0}
+    found = [(r.left, r.right, r.shared) for r in pairs.collect()]
+    assert len(found) == len(want) > 10_000 and {r[:2]: r[2] for r in found} == want
+
+
 def test_shared_areas_of_rough_shapes(spark):
     """Stars, holes, many parts, touching and nested shapes, and sizes from 1 to 10^4: areas as by slabs; no Python in the plan."""
     import math
