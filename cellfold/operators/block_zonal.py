@@ -40,7 +40,7 @@ def edges_by_block(features: DataFrame, grid: BlockGrid) -> DataFrame:
     rows = cut_at_rows(rows, width, "r0", "r1")
     block = lambda c: F.floor(F.greatest(F.least(c, F.lit(width - 1)), F.lit(0)) / size).cast("int")
     blocks = rows.withColumn("bcol", F.explode(F.sequence(block(F.col("c0") - 1), block(F.col("c1") + 1))))
-    return blocks.select("fid", "origin", "sign", "ax", "ay", "bx", "by", "r0", "r1", "brow", "bcol", grid.tile(F.col("r0"), F.col("bcol") * size).alias("tile"))
+    return blocks.select("fid", "origin", "sign", "ax", "ay", "bx", "by", "slope", "r0", "r1", "brow", "bcol", grid.tile(F.col("r0"), F.col("bcol") * size).alias("tile"))
 
 
 def zonal_by_blocks(features: DataFrame, grid: BlockGrid) -> DataFrame:
@@ -59,8 +59,9 @@ def zonal_by_blocks(features: DataFrame, grid: BlockGrid) -> DataFrame:
     rows = edges.drop("tile").join(strips.hint("merge"), ["brow", "bcol"]).where("row between r0 and r1")
     rows = cut_at_rows(rows, width)
     end = F.when(F.col("first") + size >= width, F.lit(width)).otherwise(F.col("first") + (size - 1))
-    rows = rows.withColumns({"c0": F.greatest("c0", "first"), "c1": F.least(F.col("c1"), end)}).where("c0 <= c1")
-    found = cut_at_columns(rows.withColumn("col", F.explode(F.sequence("c0", "c1"))), width)
+    rows = rows.withColumns({"c0": F.greatest("c0", "first"), "c1": F.least(F.col("c1"), end)})
+    # A filter here would become the join's condition, all of the above written out in it, and its code too long to be compiled.
+    found = cut_at_columns(rows.withColumn("col", F.explode(F.when(F.col("c0") <= F.col("c1"), F.sequence("c0", "c1")))), width)
     at = F.col("col") - F.col("first")
     value = F.when(F.col("col") < width, F.get("values", at.cast("int")))
     before = lambda name: F.get(name, at.cast("int"))

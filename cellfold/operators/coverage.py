@@ -44,13 +44,13 @@ def boundary_pieces(features: DataFrame, spec: GridSpec, fid: str = "fid", geome
     Columns left of the grid are all -1, those right of it all its width; neither has a part.
     """
     rows = with_rows(grid_edges(features.select(F.col(fid).alias("fid"), F.col(geometry).alias("geometry")), spec), spec.height)
-    rows = cut_at_rows(rows.withColumn("row", F.explode(F.sequence("r0", "r1"))), spec.width)
+    rows = cut_at_rows(rows.withColumn("row", F.explode(F.sequence("r0", "r1"))), spec.width).where("dy <> 0")
     pieces = cut_at_columns(rows.withColumn("col", F.explode(F.sequence("c0", "c1"))), spec.width)
     return pieces.groupBy("fid", "row", "col").agg(F.sum("cover").alias("cover"), F.sum("part").alias("part"))
 
 
 def grid_edges(features: DataFrame, spec: GridSpec) -> DataFrame:
-    """The edges of ``features(fid, geometry)`` from (ax, ay) to (bx, by) in grid coordinates, with their sign and the other columns.
+    """The edges of ``features(fid, geometry)`` from (ax, ay) to (bx, by) in grid coordinates, with their sign, slope and the other columns.
 
     Edges along a row bound nothing and are left out.
     """
@@ -63,7 +63,8 @@ def grid_edges(features: DataFrame, spec: GridSpec) -> DataFrame:
     ax, ay = spec.to_cell(F.col("e.p.x"), F.col("e.p.y"))
     bx, by = spec.to_cell(F.col("e.q.x"), F.col("e.q.y"))
     flip = 1.0 if spec.determinant > 0 else -1.0
-    return edges.select(*rest, (F.col("sign") * flip).alias("sign"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).where("ay <> by")
+    edges = edges.select(*rest, (F.col("sign") * flip).alias("sign"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).where("ay <> by")
+    return edges.withColumn("slope", (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
 
 
 def with_rows(edges: DataFrame, height: int) -> DataFrame:
@@ -75,14 +76,13 @@ def with_rows(edges: DataFrame, height: int) -> DataFrame:
 
 def _at(y: str) -> Column:
     """Where an edge is at a height."""
-    slope = (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    return F.when(F.col(y) == F.col("ay"), F.col("ax")).when(F.col(y) == F.col("by"), F.col("bx")).otherwise(F.col("ax") + (F.col(y) - F.col("ay")) * slope)
+    return F.when(F.col(y) == F.col("ay"), F.col("ax")).when(F.col(y) == F.col("by"), F.col("bx")).otherwise(F.col("ax") + (F.col(y) - F.col("ay")) * F.col("slope"))
 
 
 def cut_at_rows(rows: DataFrame, width: int, first: str = "row", last: str = "row") -> DataFrame:
     """Edges' pieces between two rows, in the edge's direction: from x0 to x1, of height dy, touching columns c0 to c1."""
     y0, y1 = (F.greatest(F.least(F.col(c), F.col(last) + 1.0), F.col(first).cast("double")) for c in ("ay", "by"))
-    rows = rows.withColumns({"y0": y0, "y1": y1}).where("y0 <> y1")
+    rows = rows.withColumns({"y0": y0, "y1": y1})
     rows = rows.withColumns({"x0": _at("y0"), "x1": _at("y1"), "dy": F.col("y1") - F.col("y0")})
     # Columns left of the grid are all -1; right of it all ``width``, which covers its row whole.
     clamp = lambda c: F.greatest(F.least(c, F.lit(width)), F.lit(-1)).cast("int")
